@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import one_row_per_id, ship_package, stage
@@ -88,6 +88,7 @@ _NAME = re.compile(
     rf"(?<![\w@.'’-])(?=(?P<a>[{_UP}][\w'’-]*[\w]|[{_UP}]\.)(?P<c>,?) (?P<m>(?:[{_UP}]\. ){{0,2}})(?P<b>[{_UP}][\w'’-]*\w|[{_UP}]\.(?! ?[{_UP}]\.))(?![\w@]))"
 )
 _AROUND = re.compile(r"\n|[\w'’.-]*\w|[^\w\s]")
+_WRAP = re.compile(r"(?<=[a-zà-ÿ,;])\n(?=[^\n]|$)")
 _DIGITS = re.compile(r"\d+")
 _HEADER = re.compile(r"^([A-Za-z][A-Za-z-]*):", re.M)
 
@@ -107,7 +108,7 @@ def _norm(token: str) -> str:
 
 def _context(text: str, start: int, stop: int) -> tuple[str, str]:
     """The two tokens before (near), and those with the one behind (wide)."""
-    left = [_norm(t) for t in _AROUND.findall(text[max(0, start - 40) : start])[-2:]]
+    left = [_norm(t) for t in _AROUND.findall(_WRAP.sub(" ", text[max(0, start - 40) : start]))[-2:]]
     if start == 0 or (len(left) < 2 and start < 40):
         left = (["¶", *left])[-2:]
     right = _AROUND.search(text, stop, stop + 25)
@@ -303,8 +304,17 @@ def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Dat
         seen = edges.join(strong, ["role", "pat"]).groupBy("role", "inst", "label").agg(
             F.sum(F.col("n") * F.col("conf")).alias("good"), F.max("conf").alias("best")
         )
-        grown = seen.join(size, ["role", "inst"]).select(
-            "role", "inst", "label", F.least(F.col("best"), 1.5 * F.col("good") / (F.col("all") + DOUBT)).alias("conf")
+        told = Window.partitionBy("role", "inst")
+        grown = (
+            seen.join(size, ["role", "inst"])
+            .withColumn("known", F.sum("good").over(told))
+            .withColumn(
+                "share",
+                F.when(F.col("role").isin("given", "family"), 1.5 * F.col("good") / (F.col("all") + DOUBT)).otherwise(
+                    F.col("good") / (F.col("known") + DOUBT)
+                ),
+            )
+            .select("role", "inst", "label", F.least(F.col("best"), F.col("share")).alias("conf"))
         )
         inst = stage(
             grown.unionByName(seeds).groupBy("role", "inst", "label").agg(F.max("conf").alias("conf")).where("conf > 0.05"),
@@ -378,8 +388,7 @@ def _apart(spans: list) -> list:
 _SPAN = "array<struct<start int, stop int, kind string, surface string, conf double>>"
 
 
-@F.pandas_udf(_SPAN)
-def _disjoint(spans: pd.Series) -> pd.Series:
+def _disjoint(spans):
     return spans.map(lambda s: [dict(x) for x in _apart(list(s))])
 
 
@@ -397,13 +406,12 @@ def find(records: DataFrame, names: DataFrame, fields: list[str], rounds: int =
     grouped = hits.groupBy("doc_id", "field").agg(
         F.collect_set(F.struct("start", "stop", "kind", "surface", "conf")).alias("spans")
     )
-    return grouped.select("doc_id", "field", F.explode(_disjoint("spans")).alias("s")).select(
+    return grouped.select("doc_id", "field", F.explode(F.pandas_udf(_disjoint, _SPAN)("spans")).alias("s")).select(
         "doc_id", "field", "s.start", "s.stop", "s.kind", "s.surface"
     )
 
 
-@F.pandas_udf("string")
-def _replace(text: pd.Series, spans: pd.Series) -> pd.Series:
+def _replace(text, spans):
     def one(t, found):
         if t is None or found is None or not len(found):
             return t
@@ -429,6 +437,7 @@ def redact(records: DataFrame, names: DataFrame, fields: list[str], rounds: int
         ]
     )
     own = one_row_per_id(records.select("doc_id", *fields), "doc_id")
+    replace = F.pandas_udf(_replace, "string")
     return own.join(per_doc, "doc_id", "left").select(
-        "doc_id", *[_replace(F.col(f), F.col(f"_s{i}")).alias(f) for i, f in enumerate(fields)]
+        "doc_id", *[replace(F.col(f), F.col(f"_s{i}")).alias(f) for i, f in enumerate(fields)]
     )
