@@ -66,12 +66,15 @@ atexit.register(drop_stages)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors of a cluster this package, once per application."""
+    """Give Spark's Python workers this package, once per application.
+
+    Nothing is sent where PYTHONPATH leads them to it already.
+    """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _SHIPPED.add(sc.applicationId)
-    root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope_pkg.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
