@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stage, table
-from . import distinctive, pii, term_counts
+from . import distinctive, near_duplicates, pii, term_counts
 
 BODIES = ("newsgroup_message", "book_paragraph")
 
@@ -68,6 +68,27 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(table(spark, sf, "newsgroup_message"), table(spark, sf, "name_lexicon"), PII_FIELDS)
 
 
+def _similar(spark: SparkSession, sf: str, tab: str):
+    return near_duplicates.similar_records(table(spark, sf, tab).select("doc_id", F.col("body").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for tab in ("book_paragraph", "newsgroup_message"):
+        pairs = near_duplicates.pairs_of_records(*_similar(spark, sf, tab))
+        own = pairs.select(F.lit(tab).alias("tab"), "doc_id_a", "doc_id_b")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for tab in ("book_paragraph", "newsgroup_message"):
+        own = near_duplicates.groups(*_similar(spark, sf, tab)).withColumn("tab", F.lit(tab))
+        out = own if out is None else out.unionByName(own)
+    return out.select("tab", "doc_id", "group_id", "links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
