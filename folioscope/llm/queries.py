@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stage, table
-from . import distinctive, near_duplicates, pii, term_counts
+from . import distinctive, mixing, near_duplicates, new_text, packing, pii, term_counts
 
 BODIES = ("newsgroup_message", "book_paragraph")
 
@@ -89,6 +89,61 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tab", "doc_id", "group_id", "links")
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "newsgroup_message").select("doc_id", F.col("body").alias("text"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    labels = new_text.label_lines(_messages(spark, sf))
+    return labels.where("label <> 'new'").select("doc_id", "line_no").distinct()
+
+
+def p5_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    return new_text.new_text(_messages(spark, sf)).select("doc_id", F.col("text").alias("new_text"))
+
+
+def _capacity(spark: SparkSession, sf: str, spec: str) -> int:
+    return table(spark, sf, "container_spec").where(F.col("spec_id") == spec).agg(F.max("capacity_tokens")).first()[0]
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = _capacity(spark, sf, "pack_2k")
+    packed = packing.pack(packing.sized_documents(table(spark, sf, "documents")), capacity)
+    return packed.where("piece > 0").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = _capacity(spark, sf, "pack_8k")
+    return packing.pack(packing.sized_documents(table(spark, sf, "documents")), capacity)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    sized = packing.sized_documents(table(spark, sf, "documents"))
+    out = None
+    for spec in ("pack_2k", "pack_8k"):
+        capacity = _capacity(spark, sf, spec)
+        own = packing.fill_report(packing.pack(sized, capacity), capacity).withColumn("spec_id", F.lit(spec))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(mixing.pool(table(spark, sf, "documents")), table(spark, sf, "mix_target"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    chosen, report = _mix(spark, sf)
+    return mixing.shares(chosen, report).where("not reachable").select("mix_id", "source")
+
+
+def p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
