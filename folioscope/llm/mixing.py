@@ -174,11 +174,11 @@ def mix(docs: DataFrame, mix_target: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     cell = ["mix_id", *keys]
     by_bin = drawn.groupBy(*cell, "rest", "bin").agg(F.sum("tokens").alias("t")).collect()
-    cut = _cuts(by_bin, cell, "bin")
+    cut = _cuts(by_bin, cell, last=False)
     at = spark.createDataFrame([(*k, b, before) for k, (b, before) in cut.items()], "mix_id string, source string, lang string, topic string, cut_bin int, before double")
     edge = drawn.join(F.broadcast(at), cell).where("bin = cut_bin")
     by_low = edge.groupBy(*cell, (F.col("rest") - F.col("before")).alias("rest"), F.col("low").alias("bin")).agg(F.sum("tokens").alias("t")).collect()
-    fine = _cuts(by_low, cell, "bin")
+    fine = _cuts(by_low, cell, last=True)
     edges = spark.createDataFrame(
         [(*k, b, fine.get(k, (0, 0.0))[0]) for k, (b, _) in cut.items()],
         "mix_id string, source string, lang string, topic string, cut_bin int, cut_low int",
@@ -188,20 +188,21 @@ def mix(docs: DataFrame, mix_target: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chosen.select("mix_id", "doc_id", "source", "tokens", "uses"), report
 
 
-def _cuts(rows: list, cell: list[str], by: str) -> dict[tuple, tuple[int, float]]:
-    """For each cell the bin up to which, exclusively, tokens stay within the rest."""
+def _cuts(rows: list, cell: list[str], last: bool) -> dict[tuple, tuple[int, float]]:
+    """For each cell the bin that the target falls into, and the tokens before it.
+
+    Bins before it are taken.  On the last level the bin itself is taken where
+    that comes nearer to the target.
+    """
     per: dict[tuple, list] = {}
     for r in rows:
-        per.setdefault(tuple(r[c] for c in cell), []).append((r[by], float(r["t"]), float(r["rest"])))
+        per.setdefault(tuple(r[c] for c in cell), []).append((r["bin"], float(r["t"]), float(r["rest"])))
     out = {}
     for k, bins in per.items():
-        run = 0.0
-        bins.sort()
-        at = BINS
-        for b, t, rest in bins:
-            # the nearer of leaving the bin out and taking it whole decides on the last level
+        run, at = 0.0, BINS
+        for b, t, rest in sorted(bins):
             if run + t > rest + 1e-9:
-                at = b if run + t - rest > rest - run or by == "bin" else b + 1
+                at = b + 1 if last and run + t - rest < rest - run else b
                 break
             run += t
         out[k] = (at, run)

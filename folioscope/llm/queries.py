@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stage, table
-from . import distinctive, mixing, near_duplicates, new_text, packing, pii, term_counts
+from . import distinctive, mixing, near_duplicates, new_text, packing, pii, term_counts, truncation
 
 BODIES = ("newsgroup_message", "book_paragraph")
 
@@ -144,6 +144,18 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.detect(table(spark, sf, "documents"))[0].where("cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(truncation.detect(table(spark, sf, "documents"))[0])
+
+
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.detect(table(spark, sf, "documents"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
