@@ -129,18 +129,12 @@ def mark_keywords(words: Iterable[str], inner: TokenFilter) -> TokenFilter:
 def shingles(low: int = 2, high: int = 2, unigrams: bool = True, separator: str = " ") -> TokenFilter:
     """Runs of low..high neighbouring tokens, after the single ones."""
 
-    def apply(tokens: Column) -> Column:
-        n = F.size(tokens)
-        runs = [
-            F.when(
-                n >= k,
-                F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice(tokens, i, F.lit(k)), separator)),
-            ).otherwise(F.array().cast("array<string>"))
-            for k in range(low, high + 1)
-        ]
-        return F.concat(*([tokens] if unigrams else []), *runs)
+    def runs(tokens: Column, k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - k + 1)
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), separator))
+        return F.when(F.size(tokens) >= k, joined).otherwise(F.array().cast("array<string>"))
 
-    return apply
+    return lambda tokens: F.concat(*([tokens] if unigrams else []), *[runs(tokens, k) for k in range(low, high + 1)])
 
 
 def common_grams(words: Iterable[str], separator: str = "_") -> TokenFilter:

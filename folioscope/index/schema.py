@@ -82,7 +82,7 @@ ENCODERS: dict[str, Callable[[Column], Column]] = {
     "unix_millis": F.unix_millis,
     "unix_seconds": F.unix_seconds,
     "ticks": lambda c: F.unix_micros(c) * 10 + _EPOCH_TICKS,
-    "day_number": lambda c: F.date_diff(c, F.lit(dt.date(1, 1, 1))),
+    "day_number": lambda c: F.date_diff(c, F.to_date(F.lit("0001-01-01"))),
     "decimal_string": lambda c: c.cast("string"),
     "flag": lambda c: F.when(c, "true").otherwise("false"),
 }
@@ -90,7 +90,7 @@ DECODERS: dict[str, Callable[[Column], Column]] = {
     "unix_millis": F.timestamp_millis,
     "unix_seconds": F.timestamp_seconds,
     "ticks": lambda c: F.timestamp_micros(((c - _EPOCH_TICKS) / 10).cast("long")),
-    "day_number": lambda c: F.date_add(F.lit(dt.date(1, 1, 1)), c),
+    "day_number": lambda c: F.date_add(F.to_date(F.lit("0001-01-01")), c),
     "decimal_string": lambda c: c.cast("decimal(38,18)"),
     "flag": lambda c: c == "true",
 }

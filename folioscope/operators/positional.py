@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,39 +20,42 @@ def chain(slots: list[Column], slop: int) -> Column:
     ``slop`` of the expected one is taken, without going back.
     """
 
+    def step(at: Column, slot: Column) -> Column:
+        if slop == 0:
+            return F.when(F.array_contains(slot, at + 1), at + 1)
+        return F.get(F.filter(slot, lambda x: x.between(at + 1 - slop, at + 1 + slop)), F.lit(0))
+
     def follow(start: Column) -> Column:
-        at = start
-        for s in slots[1:]:
-            if slop == 0:
-                at = F.when(F.array_contains(s, at + 1), at + 1)
-            else:
-                at = F.get(F.filter(s, lambda x, at=at: x.between(at + 1 - slop, at + 1 + slop)), F.lit(0))
-        return at.isNotNull()
+        return reduce(step, slots[1:], start).isNotNull()
 
     return F.exists(slots[0], follow)
 
 
 def loose_chain(slots: list[Column], places: list[int], slop: int) -> Column:
     """Whether the slots rise with a total deviation from ``places`` of at most ``slop``."""
+    def step(state: Column, slot: Column, gap: int) -> Column:
+        off = lambda x: F.abs(x - state["at"] - gap) + state["off"]
+        fits = F.filter(slot, lambda x: (x >= state["at"]) & (off(x) <= slop))
+        return F.transform(fits, lambda x: F.struct(x.cast("int").alias("at"), off(x).cast("int").alias("off")))
+
+    def advance(states: Column, slot: Column, gap: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform(states, lambda st: step(st, slot, gap))))
+
     states = F.transform(slots[0], lambda x: F.struct(x.cast("int").alias("at"), F.lit(0).alias("off")))
-    for s, gap in zip(slots[1:], (b - a for a, b in zip(places, places[1:]))):
-        step = lambda st, s=s, gap=gap: F.transform(
-            F.filter(s, lambda x: (x >= st["at"]) & (F.abs(x - st["at"] - gap) + st["off"] <= slop)),
-            lambda x: F.struct(x.cast("int").alias("at"), (F.abs(x - st["at"] - gap) + st["off"]).cast("int").alias("off")),
-        )
-        states = F.array_distinct(F.flatten(F.transform(states, step)))
+    for slot, gap in zip(slots[1:], (b - a for a, b in zip(places, places[1:]))):
+        states = advance(states, slot, gap)
     return F.size(states) > 0
 
 
 def near(slots: list[Column], slop: int, in_order: bool) -> Column:
     """Whether consecutive slots start within ``slop + 1`` of each other."""
-    states = slots[0]
-    for s in slots[1:]:
-        close = lambda a, s=s: F.filter(
-            s, lambda x: (F.abs(x - a) <= slop + 1) & ((x > a) if in_order else (x != a))
-        )
-        states = F.array_distinct(F.flatten(F.transform(states, close)))
-    return F.size(states) > 0
+    def close(slot: Column, at: Column) -> Column:
+        return F.filter(slot, lambda x: (F.abs(x - at) <= slop + 1) & ((x > at) if in_order else (x != at)))
+
+    def advance(states: Column, slot: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(states, lambda at: close(slot, at))))
+
+    return F.size(reduce(advance, slots[1:], slots[0])) > 0
 
 
 Span = tuple[int, int]

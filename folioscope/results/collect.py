@@ -88,7 +88,7 @@ def collapse(hits: DataFrame, docs: DataFrame, column: str, n: int, lowest: bool
     """
     rows = fetch(hits.select("doc_id", "score"), docs, [column])
     group = F.coalesce(F.col(column).cast("string"), F.lit("__null__"))
-    key = F.struct(F.col("score") if lowest else -F.col("score"), F.col("doc_id"))
+    key = F.struct((F.col("score") if lowest else -F.col("score")).alias("k"), F.col("doc_id").alias("doc_id"))
     best = rows.groupBy(group.alias("group")).agg(F.min(key).alias("_b"), F.count(F.lit(1)).alias("size"))
-    score = F.col("_b.col1") if lowest else -F.col("_b.col1")
+    score = F.col("_b.k") if lowest else -F.col("_b.k")
     return best.select("group", F.col("_b.doc_id").alias("doc_id"), score.alias("score"), "size").orderBy(F.col("score").desc(), "doc_id").limit(n)
