@@ -14,8 +14,10 @@ short prefixes of that order.
   (rows moved plus pairs looked at) is least; the estimate covers all sets.
 
 Pairs that meet in a list are looked at in blocks, never emitted: a parity
-sketch of 256 bits gives a lower bound of the symmetric difference, and only
-pairs the bound cannot exclude go on to the exact count of shared terms.
+sketch of 128 to 1024 bits, by the size of the set, gives a lower bound of the
+symmetric difference, and only pairs the bound cannot exclude go on to the exact
+count of shared terms.  Sketches fold: two of unlike length compare at the
+shorter one.
 
 Sets with equal terms form one class, of which only the smallest id takes part
 in the join; its members are added to the result afterwards.  A list longer
@@ -51,7 +53,8 @@ ROW_COST = 150
 #: pairs with the class's smallest id, from which all others follow.
 EXPAND = 64
 
-_WORDS = 4
+#: Largest set whose sketch has so many words of 64 bits.
+WIDTHS = ((64, 2), (128, 4), (256, 8), (1 << 40, 16))
 
 
 def _hash(term: str) -> int:
@@ -160,13 +163,41 @@ class _Flat:
         codes[second + _ramp(nf)] = fv
         self.codes = codes
 
-    def sketches(self) -> np.ndarray:
-        bits = _mix(self.codes) >> np.uint64(56)
+    def sketches(self) -> pa.Array:
+        """Parity sketches as bytes: bit h % bits flips for every term."""
+        bit = (_mix(self.codes) >> np.uint64(54)).astype(np.int64)
         owner = np.repeat(np.arange(len(self.n)), np.diff(self.start))
-        out = np.zeros((len(self.n), _WORDS), np.uint64)
-        word = (bits >> np.uint64(6)).astype(np.int64)
-        np.bitwise_xor.at(out, (owner, word), np.uint64(1) << (bits & np.uint64(63)))
-        return out
+        cell = np.bincount(owner * 1024 + bit, minlength=len(self.n) * 1024) if len(self.n) <= 2000 else None
+        if cell is None:
+            whole = np.concatenate([self._words(i, min(i + 2000, len(self.n)), bit) for i in range(0, len(self.n), 2000)])
+        else:
+            whole = _pack(cell.reshape(-1, 1024))
+        width = _widths(self.n)
+        parts, at = np.empty(int(width.sum()), np.uint64), np.concatenate([[0], np.cumsum(width)])
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            parts[at[rows][:, None] + np.arange(w)] = _fold(whole[rows], int(w))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(width), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(parts)])
+
+    def _words(self, lo: int, hi: int, bit: np.ndarray) -> np.ndarray:
+        a, b = self.start[lo], self.start[hi]
+        owner = np.repeat(np.arange(hi - lo), np.diff(self.start[lo : hi + 1]))
+        return _pack(np.bincount(owner * 1024 + bit[a:b], minlength=(hi - lo) * 1024).reshape(-1, 1024))
+
+
+def _pack(counts: np.ndarray) -> np.ndarray:
+    return np.packbits((counts & 1).astype(bool), axis=1, bitorder="little").view(np.uint64)
+
+
+def _widths(n: np.ndarray) -> np.ndarray:
+    return np.select([n <= most for most, _ in WIDTHS], [w for _, w in WIDTHS])
+
+
+def _fold(words: np.ndarray, to: int) -> np.ndarray:
+    while words.shape[1] > to:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -282,16 +313,16 @@ def _signatures(t: float, boundary: int, cells: dict[int, int], counting: bool)
             cell = np.zeros(len(sig), np.int32)
             if len(split_keys):
                 owner, sig, index, cell = _cells(f.ids, owner, sig, index, split_keys, split_by)
-            sk = f.sketches().view(np.int64)
+            sk = f.sketches()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(sig),
                     pa.array(cell),
                     pa.array((f.n[owner] * 2 + index).astype(np.int32)),
                     pa.array(f.ids[owner]),
-                    *[pa.array(sk[owner, w]) for w in range(_WORDS)],
+                    sk.take(pa.array(owner)),
                 ],
-                ["sig", "cell", "size", "doc_id", *[f"w{w}" for w in range(_WORDS)]],
+                ["sig", "cell", "size", "doc_id", "sketch"],
             )
 
     return run
@@ -316,7 +347,7 @@ def _cells(ids, owner, sig, index, keys, by):
     return owner[copies], sig[copies], index[copies], (low * s + high).astype(np.int32)
 
 
-_ROWS = "sig bigint, cell int, size int, doc_id bigint, " + ", ".join(f"w{w} bigint" for w in range(_WORDS))
+_ROWS = "sig bigint, cell int, size int, doc_id bigint, sketch binary"
 
 
 def _bound(t: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -324,42 +355,74 @@ def _bound(t: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.floor((1 - t) / (1 + t) * (n + m) + 1e-9)
 
 
+class _Sketches:
+    """Sketches of the rows at hand, folded to each length that is asked for."""
+
+    def __init__(self, words: np.ndarray, width: np.ndarray):
+        start = np.concatenate([[0], np.cumsum(width)[:-1]])
+        self.width, self.level = width, {}
+        present = [int(w) for w in np.unique(width)]
+        for to in (2, 4, 8, 16):
+            if to > present[-1]:
+                break
+            out = np.zeros((len(width), to), np.uint64)
+            for w in present:
+                if w >= to:
+                    rows = np.flatnonzero(width == w)
+                    out[rows] = _fold(words[start[rows][:, None] + np.arange(w)], to)
+            self.level[to] = out
+
+    def gap(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Least symmetric difference of pairs, the smaller set on the left."""
+        out = np.zeros(len(left), np.int64)
+        of = self.width[left]
+        for w in np.unique(of):
+            k = of == w
+            x = self.level[int(w)]
+            out[k] = np.bitwise_count(x[left[k]] ^ x[right[k]]).sum(axis=1)
+        return out
+
+
 def _meet(t: float) -> Callable:
     """Look at the pairs of each list; rows come sorted by list and size."""
+    ratio = (1 - t) / (1 + t)
 
-    def small(n, ids, index, sk, starts, length):
+    def small(n, index, sk, starts, length):
         """All lists of one short length at once."""
         a, b = np.triu_indices(length, 1)
         left, right = (starts[:, None] + a).ravel(), (starts[:, None] + b).ravel()
         ok = index[left] & (n[left] >= t * n[right] - 1e-9)
         left, right = left[ok], right[ok]
-        gap = np.bitwise_count(sk[left] ^ sk[right]).sum(axis=1)
-        ok = gap <= _bound(t, n[left], n[right])
-        return ids[left[ok]], ids[right[ok]]
+        ok = sk.gap(left, right) <= _bound(t, n[left], n[right])
+        return left[ok], right[ok]
 
-    def large(n, ids, index, sk):
+    def large(n, index, sk, lo_, hi_):
         """One long list, in blocks; sizes ascend."""
-        probes = np.flatnonzero(index)
+        probes = lo_ + np.flatnonzero(index[lo_:hi_])
+        own = n[lo_:hi_]
         for at in range(0, len(probes), 64):
             p = probes[at : at + 64]
-            lo = p[0] + 1
-            hi = int(np.searchsorted(n, np.floor(n[p[-1]] / t + 1e-9), "right"))
-            for s in range(lo, hi, 4096):
-                q = np.arange(s, min(hi, s + 4096))
-                half = np.bitwise_count(sk[p, 0][:, None] ^ sk[q, 0]) + np.bitwise_count(sk[p, 1][:, None] ^ sk[q, 1])
-                limit = (1 - t) / (1 + t) * (n[p][:, None] + n[q]) + 1e-9
-                x, y = np.nonzero(half <= limit)
-                if not len(x):
+            x = sk.level[max(2, int(sk.width[p[0]]) // 2)]
+            hi = lo_ + int(np.searchsorted(own, np.floor(n[p[-1]] / t + 1e-9), "right"))
+            xp = x[p].T[:, :, None]
+            for s in range(int(p[0]) + 1, hi, 2048):
+                e = min(hi, s + 2048)
+                xq = x[s:e].T[:, None, :]
+                far = np.bitwise_count(xp[0] ^ xq[0])
+                for w in range(1, len(xp)):
+                    far = far + np.bitwise_count(xp[w] ^ xq[w]) if len(xp) <= 3 else far.astype(np.uint16) + np.bitwise_count(xp[w] ^ xq[w])
+                # the block's largest set gives a bound for all its pairs
+                most = np.minimum(np.floor(ratio * (n[p] + n[e - 1]) + 1e-9), 65535).astype(np.uint16)
+                i, j = np.nonzero(far <= most[:, None])
+                if not len(i):
                     continue
-                x, y = p[x], q[y]
-                ok = (x < y) & (n[x] >= t * n[y] - 1e-9)
-                x, y = x[ok], y[ok]
-                gap = np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1)
-                ok = gap <= _bound(t, n[x], n[y])
-                yield ids[x[ok]], ids[y[ok]]
-
-    def lists(cols):
-        sig, cell, size, ids, sk = cols
+                left, right = p[i], s + j
+                ok = (left < right) & (n[left] >= t * n[right] - 1e-9)
+                left, right = left[ok], right[ok]
+                ok = sk.gap(left, right) <= _bound(t, n[left], n[right])
+                yield left[ok], right[ok]
+
+    def lists(sig, cell, size, sk):
         n, index = size >> 1, (size & 1).astype(bool)
         edge = np.flatnonzero(np.concatenate([[True], (np.diff(sig) != 0) | (np.diff(cell) != 0)]))
         length = np.diff(np.concatenate([edge, [len(sig)]]))
@@ -367,10 +430,9 @@ def _meet(t: float) -> Callable:
             starts = edge[length == size_]
             step = max(1, 400_000 // int(size_ * size_))
             for s in range(0, len(starts), step):
-                yield small(n, ids, index, sk, starts[s : s + step], int(size_))
+                yield small(n, index, sk, starts[s : s + step], int(size_))
         for s, ln in zip(edge[length > 64], length[length > 64]):
-            w = slice(s, s + ln)
-            yield from large(n[w], ids[w], index[w], sk[w])
+            yield from large(n, index, sk, int(s), int(s + ln))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -380,32 +442,42 @@ def _meet(t: float) -> Callable:
                     continue
                 new = [batch.column(i).to_numpy() for i in range(4)]
                 new[2] = new[2].astype(np.int64)
-                new.append(np.stack([batch.column(4 + w).to_numpy() for w in range(_WORDS)], axis=1).view(np.uint64))
+                new += _words_of(batch.column(4))
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-                if len(held[0]) < 200_000:
+                if len(held[0]) < 150_000:
                     continue
                 last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
                 cut = int(np.argmax(last))
                 if cut == 0:
                     continue
-                now, held = [x[:cut] for x in held], [x[cut:] for x in held]
+                at = int(held[4][:cut].sum())
+                now = [*[x[:cut] for x in held[:5]], held[5][:at]]
+                held = [*[x[cut:] for x in held[:5]], held[5][at:]]
             else:
                 if held is None:
                     return
                 now, held = held, None
-            a, b = [], []
-            for x, y in lists(now):
+            ids = now[3]
+            found = []
+            for x, y in lists(now[0], now[1], now[2], _Sketches(now[5], now[4])):
                 if len(x):
-                    a.append(np.minimum(x, y))
-                    b.append(np.maximum(x, y))
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                    x, y = ids[x], ids[y]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
+def _words_of(column: pa.Array) -> list[np.ndarray]:
+    """Widths and words of a binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return [np.diff(offsets) // 8, np.ascontiguousarray(data).view(np.uint64)]
+
+
 def _then_none(batches):
     yield from batches
     yield None
