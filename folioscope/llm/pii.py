@@ -64,26 +64,28 @@ PLACEHOLDERS = {
 }
 
 _UP = "A-ZÀ-ÖØ-Þ"
-_MAIL = re.compile(
-    r"(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-    r"|(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?[A-Za-z0-9-]+"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = re.compile(r"(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*$")
+_SPELT_HINT = re.compile(r"[(\[]\s?[aA][tT]\s?[)\]]|\s(?:dot|DOT)\s")
+_SPELT = re.compile(
+    r"(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?[A-Za-z0-9-]+"
     r"(?:(?:\.|\s?[(\[]\s?(?:dot|DOT)\s?[)\]]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]+)+"
     r"|(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*\s(?:at|AT)\s[A-Za-z0-9-]+(?:\s(?:dot|DOT)\s[A-Za-z0-9-]+)+"
-    r"|(?<![\w.+$%!@-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:![\w.+-]*[A-Za-z0-9])+(?![\w@!])"
 )
+_BANG_HINT = re.compile(r"![\w.+-]*[A-Za-z0-9]")
+_BANG = re.compile(r"(?<![\w.+$%!@-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:![\w.+-]*[A-Za-z0-9])+(?![\w@!])")
 _NUMBER = re.compile(
     r"(?<![\w@.$+/<(-])(?:"
     r"[A-Z]{1,2} ?\d[\d ]{3,12}\d ?[A-Z]?(?![\w@])"
     r"|(?:\+\d{1,3}[ .-]?)?\(?\d[\d)]*(?:[ ./-]\(?\d[\d)]*|(?<=\)) ?\d+)*(?:-[A-Z])?(?: (?:x|ext\.? ?)\d{1,6})?(?![\w@])"
     r")"
 )
-_POSTAL = re.compile(
-    rf"(?:(?<![\w.])(?P<unit>(?:Apt|Unit|Suite|Flat|Apartment|No)\.? ?\w{{1,5}}, )?"
-    rf"(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?)(?P<way>(?: [{_UP}][\w'’-]*){{1,4}})(?P<dot>\.?)"
-    rf"|(?<![\w.])(?P<box>P\.? ?O\.? ?Box \d+)"
-    rf"|(?<![\w.])(?P<strasse>[{_UP}][\w-]+(?: [{_UP}][\w-]+)?) \d{{1,4}}[a-z]?(?=, \d{{4,5}} ))"
-    rf"(?P<code1>, \d{{4,5}} [{_UP}][\w-]*\w)?(?P<town>, [{_UP}][\w'’-]*\w)?(?P<code> \d{{4,6}}(?!\w))?"
-)
+_STREET = re.compile(rf"(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?)(?P<way>(?: [{_UP}][\w'’-]*){{1,4}})(?P<dot>\.?)")
+_UNIT = re.compile(r"(?<![\w.])(?:Apt|Unit|Suite|Flat|Apartment|No)\.? ?\w{1,5}, $")
+_BOX = re.compile(r"(?<![\w.])P\.? ?O\.? ?Box \d+")
+_STRASSE = re.compile(rf"(?<![\w.])[{_UP}][\w-]+(?: [{_UP}][\w-]+)? \d{{1,4}}[a-z]?(?=, \d{{4,5}} [{_UP}])")
+_STRASSE_HINT = re.compile(rf"\d[a-z]?, \d{{4,5}} [{_UP}]")
+_TOWN = re.compile(rf"(?P<code1>, \d{{4,5}} [{_UP}][\w-]*\w)?(?P<town>, [{_UP}][\w'’-]*\w)?(?P<code> \d{{4,6}}(?!\w))?")
 _NAME = re.compile(
     rf"(?<![\w@.'’-])(?=(?P<a>[{_UP}][\w'’-]*[\w]|[{_UP}]\.)(?P<c>,?) (?P<m>(?:[{_UP}]\. ){{0,2}})(?P<b>[{_UP}][\w'’-]*\w|[{_UP}]\.(?! ?[{_UP}]\.))(?![\w@]))"
 )
@@ -103,6 +105,8 @@ def _norm(token: str) -> str:
         return "¶"
     if "@" in token:
         return "@"
+    if "." in token[1:-1]:
+        return "host"
     return _DIGITS.sub("0", token.lower())
 
 
@@ -135,6 +139,39 @@ def _mail_shape(mail: str) -> str:
     return "at " + ("dot" if re.search(r"dot", low, re.I) else "plain") + ("(" if "(" in low else "[" if "[" in low else "")
 
 
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Spans that may be mail addresses, however they are written."""
+    out = []
+    at = text.find("@")
+    while at >= 0:
+        local, domain = _LOCAL.search(text, max(0, at - 256), at), _DOMAIN.match(text, at + 1)
+        if local and domain and local.start() > max(0, at - 256) - (at < 256):
+            out.append((local.start(), domain.end()))
+        at = text.find("@", at + 1)
+    if _SPELT_HINT.search(text):
+        out += [m.span() for m in _SPELT.finditer(text)]
+    if _BANG_HINT.search(text):
+        out += [m.span() for m in _BANG.finditer(text)]
+    return out
+
+
+def _addresses(text: str) -> list[tuple[int, int, str, str]]:
+    """Spans that may be postal addresses, with the word that ends the street (with and without a point)."""
+    out = []
+    for m in _STREET.finditer(text):
+        words, dot = m["way"].split(), m["dot"]
+        rest = _TOWN.match(text, m.end())
+        if len(words) < 2 and not rest["town"]:
+            continue
+        unit = _UNIT.search(text, max(0, m.start() - 24), m.start())
+        out.append((unit.start() if unit else m.start(), rest.end(), words[-1] + dot, words[-1]))
+    if "Box " in text:
+        out += [(m.start(), _TOWN.match(text, m.end()).end(), "P.O. Box", "") for m in _BOX.finditer(text)]
+    if _STRASSE_HINT.search(text):
+        out += [(m.start(), _TOWN.match(text, m.end()).end(), "9, 99999 Town", "") for m in _STRASSE.finditer(text)]
+    return out
+
+
 def candidates_in(text: str, headers: bool = False) -> list[tuple]:
     """Every candidate of a text: (start, stop, surface, lexer, one, two, near, wide)."""
     found = []
@@ -154,31 +191,11 @@ def candidates_in(text: str, headers: bool = False) -> list[tuple]:
         return near, wide
 
     taken: list[tuple[int, int]] = []
-    for m in _MAIL.finditer(text):
-        s, e = m.span()
-        found.append((s, e, m.group(), "mail", _mail_shape(m.group()), "", *around(s, e)))
+    for s, e in _mails(text):
+        mail = text[s:e]
+        found.append((s, e, mail, "mail", _mail_shape(mail), "", *around(s, e)))
         taken.append((s, e))
-    for m in _POSTAL.finditer(text):
-        s, e = m.span()
-        box, strasse, way = m["box"], m["strasse"], m["way"]
-        if box:
-            if not (m["town"] or m["code1"] or m["code"]):
-                e = m.end("box")
-            one = "P.O. Box"
-            two = ""
-        elif strasse:
-            if not m["code1"]:
-                continue
-            one, two = "9, 99999 Town", ""
-        else:
-            words = way.split()
-            dot = m["dot"]
-            if len(words) < 2 and not m["town"]:
-                continue
-            tail = m["code1"] or m["town"] or m["code"]
-            one, two = words[-1] + dot, words[-1]
-            if dot and not tail:
-                e = m.end("dot")
+    for s, e, one, two in _addresses(text):
         found.append((s, e, text[s:e], "postal", one, two, *around(s, e)))
         taken.append((s, e))
     for m in _NUMBER.finditer(text):
@@ -406,7 +423,13 @@ def find(records: DataFrame, names: DataFrame, fields: list[str], rounds: int =
     grouped = hits.groupBy("doc_id", "field").agg(
         F.collect_set(F.struct("start", "stop", "kind", "surface", "conf")).alias("spans")
     )
-    return grouped.select("doc_id", "field", F.explode(F.pandas_udf(_disjoint, _SPAN)("spans")).alias("s")).select(
+    grouped = grouped.withColumn("spans", F.array_sort("spans"))
+    pairs = F.zip_with("spans", F.slice("spans", 2, F.size("spans")), lambda x, y: x["stop"] > y["start"])
+    grouped = grouped.withColumn("_meet", F.exists(pairs, lambda x: F.coalesce(x, F.lit(False))))
+    # spans that overlap are few; only their fields leave the JVM
+    apart = grouped.where("not _meet").select("doc_id", "field", "spans")
+    freed = grouped.where("_meet").select("doc_id", "field", F.pandas_udf(_disjoint, _SPAN)("spans").alias("spans"))
+    return apart.unionByName(freed).select("doc_id", "field", F.explode("spans").alias("s")).select(
         "doc_id", "field", "s.start", "s.stop", "s.kind", "s.surface"
     )
 
