@@ -427,11 +427,11 @@ def decode(model: dict[str, np.ndarray], texts: list[str]) -> list[np.ndarray]:
 
 def train(messages: DataFrame, limit: int = TRAIN_MESSAGES) -> dict[str, np.ndarray]:
     """Fit the model on the messages of ``(doc_id, text)`` with the smallest hash."""
-    ids = (
-        messages.where("text is not null and text <> '' and doc_id is not null")
-        .select("doc_id", F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "doc_id").limit(2 * limit)
-    )
-    texts = list(dict.fromkeys(r["text"] for r in ids.collect()))[:limit]
+    some = messages.where("text is not null and text <> '' and doc_id is not null")
+    # only ids and hashes are ranked; texts of the chosen few follow
+    ids = some.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(2 * limit).select("doc_id").distinct()
+    rows = some.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
+    texts = list(dict.fromkeys(r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])))[:limit]
     return fit(texts)
 
 
