@@ -12,6 +12,7 @@ each of its postings, so scoring joins nothing but statistics.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package, stage
+from ..runtime import ship_package, spread, stage
 from .schema import FieldSpec
 
 _POSTINGS = "field string, term string, doc_id bigint, tf int, dl int, boost double, positions array<int>"
@@ -52,6 +53,11 @@ class Index:
     corpus_stats: DataFrame
     fields: dict[str, FieldSpec]
 
+    @functools.cached_property
+    def corpus(self) -> dict[str, tuple[int, int, float]]:
+        """``field -> (n_docs, sum_dl, avgdl)``, read once; one entry per field."""
+        return {r["field"]: (r["n_docs"], r["sum_dl"], r["avgdl"]) for r in self.corpus_stats.collect()}
+
     @property
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
@@ -63,6 +69,13 @@ class Index:
         return Index(self.docs, postings, stats, stage(self.corpus_stats, "corpus-stats"), self.fields)
 
 
+    def cached(self) -> Index:
+        """The same, kept in the executors' memory (or on their disks) once read."""
+        for df in (self.docs, self.postings, self.term_stats, self.corpus_stats):
+            df.persist()
+        return self
+
+
 def term_stats_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
@@ -94,7 +107,7 @@ def postings_of(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id") -
         boost = F.coalesce(F.col("boost").cast("double"), F.lit(1.0)) if "boost" in docs.columns else F.lit(1.0)
         rows.append(F.struct(F.lit(f.name).alias("field"), (boost * f.boost).alias("boost"), F.coalesce(terms, F.array().cast("array<string>")).alias("terms")))
     return (
-        docs.where(F.col(key).isNotNull())
+        spread(docs).where(F.col(key).isNotNull())
         .select(F.col(key).cast("long").alias("doc_id"), F.inline(F.array(*rows)))
         .where(F.size("terms") > 0)
         .mapInArrow(_invert, _POSTINGS)

@@ -39,7 +39,7 @@ def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], ix.Index])
     """An index, built once for a session and a folder."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _HELD:
-        _HELD[key] = make().staged()
+        _HELD[key] = make().staged().cached()
     return _HELD[key]
 
 

@@ -57,7 +57,15 @@ class Searcher:
         own = self.index.postings.where(where)
         stats = self.index.term_stats.where(where)
         stats = stats if many else F.broadcast(stats)
-        return own.join(stats, ["field", "term"]).join(F.broadcast(self.index.corpus_stats), "field")
+        return self._with_corpus(own.join(stats, ["field", "term"]))
+
+    def _with_corpus(self, rows: DataFrame) -> DataFrame:
+        """Add the statistics of the field, as constants."""
+        known = self.index.corpus
+        pick = lambda i: reduce(
+            lambda acc, f: F.when(F.col("field") == f, F.lit(known[f][i])).otherwise(acc), known, F.lit(None)
+        )
+        return rows.withColumns({"n_docs": pick(0), "sum_dl": pick(1), "avgdl": pick(2).cast("double")})
 
     def _scored(self, where: Column, many: bool = False) -> DataFrame:
         score = self.model(similarity.Term.columns()) * F.col("boost")
@@ -305,7 +313,7 @@ class Searcher:
         weights = dict(zip(x.fields, x.weights or [1.0] * len(x.fields)))
         where = reduce(lambda a, b: a | b, [self._is(f, x.terms) for f in x.fields])
         weight = reduce(lambda acc, f: F.when(F.col("field") == f, weights[f]).otherwise(acc), x.fields, F.lit(0.0))
-        rows = self.index.postings.where(where).join(F.broadcast(self.index.corpus_stats), "field")
+        rows = self._with_corpus(self.index.postings.where(where))
         part = weight * F.col("tf") / (1 - x.b + x.b * F.col("dl") / F.col("avgdl"))
         by_term = rows.groupBy("doc_id", "term").agg(F.sum(part).alias("pf"), F.max("n_docs").alias("n"))
         union = by_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

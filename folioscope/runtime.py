@@ -106,6 +106,26 @@ def one_row_per_id(df: DataFrame, key: str, order: list[Column] | None = None) -
     return once.unionByName(kept)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where few files would leave most of them idle.
+
+    Files that make fewer splits than there are cores are small beside the
+    cluster, so moving their rows once is cheap; larger inputs stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for f in files:
+        where = jvm.org.apache.hadoop.fs.Path(f)
+        size += where.getFileSystem(conf).getFileStatus(where).getLen()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if 100_000 < size < cores * split else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables (a Parquet file or folder)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
