@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, stage
+from ..runtime import one_row_per_id, spread, stage
 from .tokens import VOCABULARY, with_tokens
 
 #: Bins of the hash, on each of two levels.
@@ -62,7 +62,7 @@ def pool(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Documents without a source or without tokens can be in no mix.
     """
-    own = one_row_per_id(documents.select("doc_id", "text", "source", "lang"), "doc_id").where(
+    own = one_row_per_id(spread(documents.select("doc_id", "text", "source", "lang")), "doc_id").where(
         "source is not null and text is not null and text <> ''"
     )
     marked = own.select("doc_id", "text", "source", language(F.col("lang")).alias("lang"), topic(F.col("text")).alias("topic"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package, stage
+from ..runtime import ship_package, spread, stage
 from .text import terms
 
 #: Groups of the two-term subsets.
@@ -496,7 +496,7 @@ def similar_records(records: DataFrame, t: float = 0.7, boundary: int | None = N
     """
     spark = records.sparkSession
     ship_package(spark)
-    texts = records.select("doc_id", "text").where("doc_id is not null and text is not null")
+    texts = spread(records.select("doc_id", "text")).where("doc_id is not null and text is not null")
     held = stage(
         texts.select("text").mapInArrow(_count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "terms"
     )

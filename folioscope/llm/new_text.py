@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, ship_package
+from ..runtime import one_row_per_id, ship_package, spread
 
 #: Messages whose lines the model is fitted on, at most.
 TRAIN_MESSAGES = 1500
@@ -465,7 +465,7 @@ def label_lines(messages: DataFrame, model: dict[str, np.ndarray] | None = None)
     """
     ship_package(messages.sparkSession)
     model = train(messages) if model is None else model
-    some = messages.select("doc_id", "text").where("text is not null and text <> '' and doc_id is not null")
+    some = spread(messages.select("doc_id", "text")).where("text is not null and text <> '' and doc_id is not null")
     return some.mapInArrow(_label(model), "doc_id bigint, line_no int, label string")
 
 

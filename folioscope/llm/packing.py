@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, stage
+from ..runtime import one_row_per_id, spread, stage
 from .tokens import VOCABULARY, with_tokens
 
 
@@ -287,7 +287,7 @@ def pack(sized: DataFrame, capacity: int) -> DataFrame:
 
 def sized_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``(doc_id, tokens)``, one row per id, as a stage table."""
-    own = one_row_per_id(documents.select("doc_id", "text"), "doc_id")
+    own = one_row_per_id(spread(documents.select("doc_id", "text")), "doc_id")
     return stage(with_tokens(own, "text", ["doc_id"], path), "sizes")
 
 

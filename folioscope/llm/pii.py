@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, ship_package, stage
+from ..runtime import one_row_per_id, ship_package, spread, stage
 
 #: Rounds of scoring patterns and instances.
 ROUNDS = 3
@@ -245,7 +245,7 @@ def _lex(fields: list[str]):
 def candidates(records: DataFrame, fields: list[str]) -> DataFrame:
     """All candidates of ``(doc_id, *fields)``; null fields have none."""
     ship_package(records.sparkSession)
-    return records.select("doc_id", *fields).where("doc_id is not null").mapInArrow(_lex(fields), _CANDIDATES)
+    return spread(records.select("doc_id", *fields)).where("doc_id is not null").mapInArrow(_lex(fields), _CANDIDATES)
 
 
 def _instances(c: DataFrame) -> DataFrame:

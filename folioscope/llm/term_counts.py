@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, ship_package
+from ..runtime import one_row_per_id, ship_package, spread
 from .text import terms
 
 #: Distinct terms a task holds before it hands its partial sums on.
@@ -64,7 +64,7 @@ def text_term_counts(records: DataFrame, text: str) -> DataFrame:
     their names; the order of the result is not defined.
     """
     ship_package(records.sparkSession)
-    partial = records.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_combine, _PARTIAL)
+    partial = spread(records).select(F.col(text).alias("text")).where("text is not null").mapInArrow(_combine, _PARTIAL)
     return partial.groupBy("term").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")
     )
@@ -115,5 +115,5 @@ def count_records(records: DataFrame) -> DataFrame:
 def text_records(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(doc_id, text)``, one row per id, null texts left out."""
     return one_row_per_id(
-        df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null"), "doc_id"
+        spread(df).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null"), "doc_id"
     )

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, ship_package, stage
+from ..runtime import one_row_per_id, ship_package, spread, stage
 from .text import terms
 
 #: Share of cut texts assumed before any evidence.
@@ -300,7 +300,7 @@ def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     ship_package(spark)
     own = one_row_per_id(
-        documents.select("doc_id", "source", F.col("n_chars").cast("long").alias("stated"), "text"), "doc_id"
+        spread(documents).select("doc_id", "source", F.col("n_chars").cast("long").alias("stated"), "text"), "doc_id"
     ).where("text is not null and text <> ''")
     ends = stage(own.select("doc_id", "source", "stated", "text").mapInArrow(_ends, _ENDS), "ends")
     words = stage(
