@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..analysis import tokenisers
 from ..analysis.filters import ARTICLES, MARKED, PLAIN
 from ..analysis.stopwords import STOP_WORDS
 from ..index.schema import _EPOCH_TICKS
@@ -210,7 +211,7 @@ SQL: dict[str, str] = {
       cast(sum(n_chars) as double) as sum, round(avg(n_chars), 6) as avg from hits join documents using (doc_id)"""),
     "histogram_aggregation": _with(f""", {_HITS}, v as (select cast(floor(n_chars / 250.0) as bigint) as i from hits join documents using (doc_id) where n_chars is not null),
       every as (select unnest(range((select min(i) from v), (select max(i) from v) + 1)) as i)
-      select i * 250.0 as bucket, count(v.i) as count from every left join v using (i) group by i"""),
+      select cast(i * 250.0 as double) as bucket, count(v.i) as count from every left join v using (i) group by i"""),
     "collapse_top": _with(f""", {_HITS}, j as (select doc_id, round(score, 6) as score, coalesce(source, '__null__') as g from hits join documents using (doc_id))
       select g as "group", doc_id, score, size from (select *, row_number() over (partition by g order by score desc, doc_id) as r,
       count(*) over (partition by g) as size from j) where r = 1 order by score desc, doc_id limit 100"""),
@@ -307,4 +308,6 @@ SQL["updated_documents"] = _with("select doc_id, round(sum(s), 6) as score from
 SQL["streamed_index"] = _with("select doc_id, round(s, 6) as score from tx where term = 'river'").replace(
     "from documents", "from (select doc_id, any_value(body) as text, any_value(title) as title from book_paragraph where doc_id is not null group by doc_id)"
 )
+SQL["tokens_uax29"] = _tokens(f"regexp_extract_all(body, '{tokenisers.URL}|{tokenisers.EMAIL}|{tokenisers.TAG}|{tokenisers.WORD}')".replace("'’", "''’"), "body is not null", "newsgroup_message")
+SQL["vector_int8"] = SQL["vector_nearest"]
 SQL = {k: v for k, v in SQL.items() if v}

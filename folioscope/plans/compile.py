@@ -65,7 +65,7 @@ class Searcher:
         pick = lambda i: reduce(
             lambda acc, f: F.when(F.col("field") == f, F.lit(known[f][i])).otherwise(acc), known, F.lit(None)
         )
-        return rows.withColumns({"n_docs": pick(0), "sum_dl": pick(1), "avgdl": pick(2).cast("double")})
+        return rows.withColumns({"n_docs": pick(0).cast("long"), "sum_dl": pick(1).cast("long"), "avgdl": pick(2).cast("double")})
 
     def _scored(self, where: Column, many: bool = False) -> DataFrame:
         score = self.model(similarity.Term.columns()) * F.col("boost")
