@@ -53,7 +53,7 @@ _MAIL = re.compile(r"\S@\S|\S!\S+!\S")
 _PHONE = re.compile(r"(?:\+?\d[\d ()./-]{6,}\d)")
 _CONTACT = re.compile(r"\b(?:tel|phone|fax|e-?mail|voice|mobile|sent with|sent from)\b", re.I)
 _LEGAL = re.compile(
-    r"\b(?:confidential\w*|disclaimer|privileged|liab\w+|addressee|recipients?|opinions?|views|employer|warrant\w+|accepts?|loss|damages?|unauthori[sz]ed|"
+    r"\b(?:confidential\w*|disclaimer|privileged|liab\w+|addressee|recipients?|opinions?|views|employer|warrant\w+|accepts?|loss|damages?|myself|behalf|approv\w+|endors\w+|neither|unauthori[sz]ed|"
     r"disclos\w+|prohibited|vertraulich|empf[äa]nger|confiden\w+|destinata\w+|responsab\w+|represent|consent|permi\w+|intended|delete)\b",
     re.I,
 )
@@ -249,7 +249,7 @@ def _bucket(name: str) -> int:
     return h % SIZE
 
 
-def closing_blocks(texts: list[str], least: int = 3) -> set[str]:
+def closing_blocks(texts: list[str], least: int = 5) -> set[str]:
     """Last blocks that several messages share word for word, signatures apart."""
     seen: dict[str, int] = {}
     for t in texts:
