@@ -19,7 +19,7 @@ from ..operators import vector_index
 from ..query import nodes as q
 from ..query.parser import Parser
 from ..results import collect, highlight, suggest
-from ..runtime import table
+from ..runtime import spread, table
 from ..sources import json as js
 from .compile import Searcher
 
@@ -458,7 +458,7 @@ def encoded_times(spark: SparkSession, sf: str) -> DataFrame:
 def _tokens(name: str, make: Callable[[], Callable], column: str = "title", tab: str = "documents") -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = make()(F.col(column))
-        rows = table(spark, sf, tab).where(F.col(column).isNotNull()).select("doc_id", found.alias("t"))
+        rows = spread(table(spark, sf, tab)).where(F.col(column).isNotNull()).select("doc_id", found.alias("t"))
         return rows.select("doc_id", F.posexplode("t").alias("pos", "term"))
 
     run.__name__ = name
