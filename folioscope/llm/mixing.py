@@ -11,7 +11,8 @@ then sampled with the calibrated probabilities.
   floor(w) times, and once more where its hash falls below a threshold.  The
   thresholds are set so that the chosen tokens, not just the expected ones,
   meet the cell's target: Spark sums tokens by cell and hash bin, and the bin in
-  which the target is reached is cut once more.
+  which the target is reached is cut once more; bins beyond it that still fit
+  fill what a large document leaves open.
 
 Only cells and bins ever leave the executors: their number depends on how many
 sources, languages and topics there are, not on the documents.
@@ -20,6 +21,7 @@ sources, languages and topics there are, not on the documents.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -157,55 +159,89 @@ def mix(docs: DataFrame, mix_target: DataFrame) -> tuple[DataFrame, DataFrame]:
     plans, reports = [], []
     for mix_id, targets in _mixes(mix_target).items():
         weights, report = fit_mix([c for c in cells if c["source"] in targets], targets)
-        plans += [(mix_id, w["source"], w["lang"], w["topic"], w["tokens"], w["weight"]) for w in weights]
+        plans += [(mix_id, w["source"], w["lang"], w["topic"], w["tokens"], w["weight"], targets[w["source"]][1]) for w in weights]
         reports += [(mix_id, r["source"], r["available"], r["target_tokens"], r["goal_tokens"], r["max_repeats"], r["reachable"]) for r in report]
     report = spark.createDataFrame(
         reports, "mix_id string, source string, available bigint, target_tokens double, goal_tokens double, max_repeats int, reachable boolean"
     )
-    wanted = spark.createDataFrame(plans, "mix_id string, source string, lang string, topic string, cell_tokens bigint, weight double").withColumns(
+    wanted = spark.createDataFrame(plans, "mix_id string, source string, lang string, topic string, cell_tokens bigint, weight double, repeats int").withColumns(
         {"whole": F.floor("weight").cast("int"), "rest": (F.col("weight") - F.floor("weight")) * F.col("cell_tokens")}
     )
     keys = ["source", "lang", "topic"]
     # bins are drawn anew for each mix, by a hash of mix and document
     drawn = (
-        docs.join(F.broadcast(wanted.select("mix_id", *keys, "whole", "rest")), keys)
+        docs.join(F.broadcast(wanted.select("mix_id", *keys, "whole", "rest", "repeats")), keys)
         .withColumn("_h", F.pmod(F.xxhash64("mix_id", "doc_id"), F.lit(BINS * BINS)))
         .withColumns({"bin": F.floor(F.col("_h") / BINS).cast("int"), "low": F.pmod("_h", F.lit(BINS)).cast("int")})
     )
     cell = ["mix_id", *keys]
     by_bin = drawn.groupBy(*cell, "rest", "bin").agg(F.sum("tokens").alias("t")).collect()
-    cut = _cuts(by_bin, cell, last=False)
-    at = spark.createDataFrame([(*k, b, before) for k, (b, before) in cut.items()], "mix_id string, source string, lang string, topic string, cut_bin int, before double")
-    edge = drawn.join(F.broadcast(at), cell).where("bin = cut_bin")
-    by_low = edge.groupBy(*cell, (F.col("rest") - F.col("before")).alias("rest"), F.col("low").alias("bin")).agg(F.sum("tokens").alias("t")).collect()
-    fine = _cuts(by_low, cell, last=True)
+    names = "mix_id string, source string, lang string, topic string"
+    extra: dict[tuple, float] = {}
+    for _ in range(2):
+        cut = _cuts(by_bin, cell, extra)
+        at = spark.createDataFrame([(*k, c.at, c.gap) for k, c in cut.items()], f"{names}, cut_bin int, gap double")
+        edge = drawn.join(F.broadcast(at), cell).where("bin = cut_bin")
+        by_low = edge.groupBy(*cell, F.col("gap").alias("rest"), F.col("low").alias("bin")).agg(F.sum("tokens").alias("t")).collect()
+        fine = _cuts(by_low, cell, {}, last=True)
+        if extra:
+            break
+        # what small cells could not reach, their documents being whole, the source's largest cell takes over
+        missed: dict[tuple, float] = {}
+        largest: dict[tuple, tuple[float, tuple]] = {}
+        for k, c in cut.items():
+            missed[k[:2]] = missed.get(k[:2], 0.0) + (fine[k].gap if k in fine else c.gap)
+            largest[k[:2]] = max(largest.get(k[:2], (0.0, k)), (c.rest, k))
+        extra = {k: missed[of] for of, (_, k) in largest.items()}
+        if not extra:
+            break
+    none = _Cut(0, 0.0, 0.0, [])
     edges = spark.createDataFrame(
-        [(*k, b, fine.get(k, (0, 0.0))[0]) for k, (b, _) in cut.items()],
-        "mix_id string, source string, lang string, topic string, cut_bin int, cut_low int",
+        [(*k, c.at, c.more, fine.get(k, none).at, fine.get(k, none).more) for k, c in cut.items()],
+        f"{names}, cut_bin int, more_bins array<int>, cut_low int, more_lows array<int>",
     )
-    more = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("low") < F.col("cut_low")))
-    chosen = drawn.join(F.broadcast(edges), cell).withColumn("uses", F.col("whole") + more.cast("int")).where("uses > 0")
+    early, edge_bin = F.col("bin") < F.col("cut_bin"), F.col("bin") == F.col("cut_bin")
+    low = (F.col("low") < F.col("cut_low")) | F.array_contains("more_lows", F.col("low"))
+    more = early | F.array_contains("more_bins", F.col("bin")) | (edge_bin & low)
+    chosen = drawn.join(F.broadcast(edges), cell).withColumn("uses", F.least(F.col("whole") + more.cast("int"), F.col("repeats"))).where("uses > 0")
     return chosen.select("mix_id", "doc_id", "source", "tokens", "uses"), report
 
 
-def _cuts(rows: list, cell: list[str], last: bool) -> dict[tuple, tuple[int, float]]:
-    """For each cell the bin that the target falls into, and the tokens before it.
+@dataclass
+class _Cut:
+    """Bins before ``at`` and those in ``more`` are taken; ``gap`` tokens of ``rest`` are left."""
+
+    at: int
+    rest: float
+    gap: float
+    more: list[int]
 
-    Bins before it are taken.  On the last level the bin itself is taken where
-    that comes nearer to the target.
+
+def _cuts(rows: list, cell: list[str], extra: dict[tuple, float], last: bool = False) -> dict[tuple, _Cut]:
+    """For each cell the bin its target falls into, and bins beyond it that still fit.
+
+    On the last level that bin is taken too where this comes nearer to the
+    target.  ``extra`` is added to the targets of some cells.
     """
     per: dict[tuple, list] = {}
+    rest: dict[tuple, float] = {}
     for r in rows:
-        per.setdefault(tuple(r[c] for c in cell), []).append((r["bin"], float(r["t"]), float(r["rest"])))
+        k = tuple(r[c] for c in cell)
+        per.setdefault(k, []).append((r["bin"], float(r["t"])))
+        rest[k] = max(float(r["rest"]) + extra.get(k, 0.0), 0.0)
     out = {}
     for k, bins in per.items():
-        run, at = 0.0, BINS
-        for b, t, rest in sorted(bins):
-            if run + t > rest + 1e-9:
-                at = b + 1 if last and run + t - rest < rest - run else b
-                break
-            run += t
-        out[k] = (at, run)
+        left, at, more = rest[k], None, []
+        for b, t in sorted(bins):
+            if t <= left + 1e-9:
+                left -= t
+                if at is not None:
+                    more.append(b)
+            elif at is None:
+                nearer = last and t - left < left
+                at = b + 1 if nearer else b
+                left -= t if nearer else 0.0
+        out[k] = _Cut(BINS if at is None else at, rest[k], left, more)
     return out
 
 
