@@ -7,6 +7,8 @@ short prefixes of that order.
 * *Light* (small) sets enumerate fixed-size subsets: all two-term subsets that
   fall in the same of G hash groups of a prefix.  Two sets that share at least
   G + 1 prefix terms share two of one group, so no similar pair is lost.
+  Sets so small that a partner may share fewer terms than that (up to 5 terms
+  at t = 0.7) scan lists of single terms as well, like heavy sets.
 * *Heavy* (large) sets, whose subsets would be too many, scan inverted lists:
   each prefix term is a list, and a light set that could be similar to a heavy
   one enters those lists as well.
@@ -222,6 +224,14 @@ def _index_prefix(n: np.ndarray, t: float, extra: int) -> np.ndarray:
     return np.clip(n - np.ceil(2 * t / (1 + t) * n - 1e-9) + extra, 0, n).astype(np.int64)
 
 
+def _tiny(n: np.ndarray, t: float) -> np.ndarray:
+    """Sets that may be similar to one they share fewer than GROUPS + 1 terms with.
+
+    Both sets of such a pair are tiny: its shared terms are at least t times the larger set.
+    """
+    return np.ceil(t * n - 1e-9) <= GROUPS
+
+
 def _cost(t: float, p: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows and expected partners of each set either way, summed by set size."""
 
@@ -236,13 +246,15 @@ def _cost(t: float, p: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
             run1 = np.concatenate([[0.0], np.cumsum(share)])
             run2 = np.concatenate([[0.0], np.cumsum(share**2)])
             m1, i1 = _prefix(f.n, t, 1), _index_prefix(f.n, t, 1)
-            m2, i2 = _prefix(f.n, t, GROUPS + 1), _index_prefix(f.n, t, GROUPS + 1)
+            m2, i2 = (np.where(f.n > GROUPS, x(f.n, t, GROUPS + 1), 0) for x in (_prefix, _index_prefix))
             at = f.start[:-1]
             one = run1[at + i1] - run1[at]
             s1, s2 = run1[at + i2] - run1[at], run2[at + i2] - run2[at]
             two = np.maximum(s1**2 - s2, 0) / 2 / GROUPS
             sizes, where = np.unique(f.n, return_inverse=True)
-            out = [np.bincount(where, w) for w in (m1, one, m2 * (m2 - 1) / 2 / GROUPS, two)]
+            # tiny sets scan lists either way; _boundary counts partners in subsets twice as dear
+            tiny = _tiny(f.n, t)
+            out = [np.bincount(where, w) for w in (m1, one, m2 * (m2 - 1) / 2 / GROUPS + m1 * tiny, two + one * tiny / 2)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sizes.astype(np.int32)), *[pa.array(x.astype(float)) for x in out]],
                 ["n", "rows1", "meet1", "rows2", "meet2"],
@@ -278,15 +290,17 @@ def _signatures(t: float, boundary: int, cells: dict[int, int], counting: bool)
     def rows_of(f: _Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         light = f.n <= boundary
         parts = []
-        # lists of single terms: heavy sets, and light ones near the boundary
-        m = np.where(light, np.where(f.n >= t * (boundary + 1) - 1e-9, _prefix(f.n, t, 1, boundary + 1), 0), _prefix(f.n, t, 1))
+        # lists of single terms: heavy and tiny sets, and light ones near the boundary
+        near = np.where(f.n >= t * (boundary + 1) - 1e-9, _prefix(f.n, t, 1, boundary + 1), 0)
+        m = np.where(light & ~_tiny(f.n, t), near, _prefix(f.n, t, 1))
         i = np.minimum(_index_prefix(f.n, t, 1), m)
         owner = np.repeat(np.arange(len(f.n)), m)
         rank = _ramp(m)
         code = f.codes[f.start[:-1][owner] + rank]
         parts.append((owner, _mix(code).view(np.int64), rank < i[owner]))
         if boundary:
-            m = np.where(light, _prefix(f.n, t, GROUPS + 1), 0)
+            # sets of up to GROUPS terms meet only tiny sets, which are all in the lists
+            m = np.where(light & (f.n > GROUPS), _prefix(f.n, t, GROUPS + 1), 0)
             i = _index_prefix(f.n, t, GROUPS + 1)
             for size in np.unique(m[m > 1]):
                 own = np.flatnonzero(m == size)

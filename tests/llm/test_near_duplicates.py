@@ -49,6 +49,29 @@ def test_all_pairs(spark, monkeypatch, boundary, block):
     assert len(got) == len({(r["doc_id_a"], r["doc_id_b"]) for r in got})
 
 
+def tiny_collection():
+    """Pairs of 3 and 4, 4 and 5, 5 and 5, and 5 and 7 terms, each pair with words of its own."""
+    rng, rows = random.Random(5), []
+    for v in range(160):
+        a, b = ((3, 4), (4, 5), (5, 5), (5, 7))[v % 4]
+        words = [f"v{v}x{i}" for i in range(b)]
+        other = [*words[1:], f"v{v}y"] if a == b else words[:a]
+        for text in (words, other):
+            rows.append((len(rows), " ".join(rng.sample(text, len(text)))))
+    shared = ["same", "problem", "here", "too", "again", "now"]
+    for _ in range(40):
+        rows.append((len(rows), " ".join(rng.sample(shared, rng.randint(1, 5)))))
+    return rows
+
+
+@pytest.mark.parametrize("boundary", [0, 3, 4, 5, 6, 10_000, None])
+def test_pairs_of_tiny_sets(spark, boundary):
+    rows = tiny_collection()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nd.pairs_of_records(*nd.similar_records(df, 0.7, boundary)).collect()
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in got} == brute(rows, 0.7)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, "a b c"), (5, "C b, A!"), (4, "a b c"), (None, "a b c"), (6, "x " * 50_000)]
     df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, sig string")
