@@ -51,9 +51,11 @@ BLOCK = 40_000
 COMMON = 5e-4
 #: Estimated cost of one signature row, in pairs looked at.
 ROW_COST = 150
-#: Classes up to this size are written out as pairs of records; larger ones as
-#: pairs with the class's smallest id, from which all others follow.
+#: Exact copies of one text up to this number are written out as pairs of records;
+#: more are tied to the smallest id among them, from which all others follow.
 EXPAND = 64
+#: Members of a class that meet as many others in one task; larger classes are cut into blocks.
+MEMBERS = 1000
 
 #: Largest set whose sketch has so many words of 64 bits.
 WIDTHS = ((64, 2), (128, 4), (256, 8), (1 << 40, 16))
@@ -102,12 +104,13 @@ def _encode(common: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     """Sets as sorted codes: rare terms by hash, then common ones by frequency.
 
     Rare terms take codes below 2**61, common ones follow in ``frequent`` as
-    small integers.  A set's class is the hash of its codes.
+    small integers.  A set's class is the hash of its codes; ``copy`` is the
+    hash of the text itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, rare, frequent, hi, lo = [], [], [], [], [], []
+            ids, sizes, rare, frequent, hi, lo, copy = [], [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = set(terms(text))
                 if not own:
@@ -128,6 +131,7 @@ def _encode(common: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 frequent.append(known)
                 hi.append(int.from_bytes(whole[:8], "little", signed=True))
                 lo.append(int.from_bytes(whole[8:], "little", signed=True))
+                copy.append(xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -136,14 +140,15 @@ def _encode(common: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     pa.array(frequent, pa.list_(pa.int32())),
                     pa.array(hi, pa.int64()),
                     pa.array(lo, pa.int64()),
+                    pa.array(copy, pa.binary()),
                 ],
-                ["doc_id", "n", "rare", "frequent", "hi", "lo"],
+                ["doc_id", "n", "rare", "frequent", "hi", "lo", "copy"],
             )
 
     return run
 
 
-_SETS = "doc_id bigint, n int, rare array<bigint>, frequent array<int>, hi bigint, lo bigint"
+_SETS = "doc_id bigint, n int, rare array<bigint>, frequent array<int>, hi bigint, lo bigint, copy binary"
 
 
 class _Flat:
@@ -502,7 +507,8 @@ def similar_records(records: DataFrame, t: float = 0.7, boundary: int | None = N
 
     ``records`` is ``(doc_id, text)``.  Returns ``links (a, b, similarity)``,
     a < b, ids of class representatives whose sets are similar but not equal,
-    and ``members (rep, doc_id)`` with every record that has a term.
+    and ``members (rep, copy, doc_id)`` with every record that has a term;
+    ``copy`` tells texts of a class apart, null where a class is one record.
 
     Null and empty texts, and texts without any term, belong to no class.  Of a
     doc_id whose rows hold different texts one counts, chosen by hash.
@@ -521,12 +527,12 @@ def similar_records(records: DataFrame, t: float = 0.7, boundary: int | None = N
     share = np.array([r["n"] / n_texts for r in rows] or [0.0])
 
     sets = stage(texts.mapInArrow(_encode(common), _SETS), "sets")
-    of = F.struct("hi", "lo")
+    of = F.struct("hi", "lo", "copy")
     one = sets.groupBy("doc_id").agg(F.min(of).alias("s"), F.max(of).alias("z"))
     odd = stage(one.where("s <> z").select("doc_id", F.col("s.hi").alias("_hi"), F.col("s.lo").alias("_lo")), "odd-ids")
-    members = one.select("s.hi", "s.lo", "doc_id")
+    members = one.select("s.hi", "s.lo", "s.copy", "doc_id")
     classes = members.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    shared = stage(members.join(classes.where("size > 1"), ["hi", "lo"]).select("rep", "doc_id"), "class-members")
+    shared = stage(members.join(classes.where("size > 1"), ["hi", "lo"]).select("rep", "copy", "doc_id"), "class-members")
     spare = shared.where("rep <> doc_id").select("doc_id").distinct()
     # rows loaded twice give equal sets under one id; in the lists they meet only themselves
     reps = (
@@ -560,33 +566,45 @@ def similar_records(records: DataFrame, t: float = 0.7, boundary: int | None = N
         .where(F.col("similarity") >= t - 1e-12)
         .groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     )
-    own = sets.select("doc_id").distinct().join(spare, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "doc_id")
-    everyone = own.unionByName(shared.where("rep <> doc_id"))
+    own = sets.select("doc_id").distinct().join(shared, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.lit(None).cast("binary").alias("copy"), "doc_id")
+    everyone = own.unionByName(shared)
     return stage(links, "links"), everyone
 
 
 def pairs_of_records(links: DataFrame, members: DataFrame) -> DataFrame:
     """``(doc_id_a, doc_id_b, similarity)``, the smaller id first.
 
-    Classes of up to ``EXPAND`` records are written out pair by pair; a larger
-    class is linked through its representative, both inside and to others.
+    All pairs of different texts are written out.  Exact copies of one text are
+    as well up to ``EXPAND`` of them; the records of more are each paired with
+    the smallest id among them, which alone meets other texts.
+
+    Classes of more than ``MEMBERS`` records are cut into blocks, and each two
+    blocks meet under a key of their own.
     """
-    many = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = members.join(many, "rep")
-    small = grouped.where(F.col("size") <= EXPAND).select("rep", "doc_id")
+    shared = members.where("copy is not null")
+    copies = shared.groupBy("rep", "copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("same"))
+    known = shared.join(copies, ["rep", "copy"])
+    tied = known.where((F.col("same") > EXPAND) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    meeting = known.where((F.col("same") <= EXPAND) | (F.col("doc_id") == F.col("first"))).select("rep", "doc_id")
+    blocks = stage(meeting.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")), "class-blocks")
+    placed = stage(meeting.join(blocks, "rep").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "class-blocks-of")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     inside = (
-        small.select("rep", F.col("doc_id").alias("x")).join(small.select("rep", F.col("doc_id").alias("y")), "rep")
-        .where("x < y").select("x", "y")
-        .unionByName(grouped.where((F.col("size") > EXPAND) & (F.col("rep") != F.col("doc_id"))).select(F.col("rep").alias("x"), F.col("doc_id").alias("y")))
-        .withColumn("similarity", F.lit(1.0))
+        placed.select("rep", F.col("block").alias("i"), every.alias("j"), F.col("doc_id").alias("x"))
+        .join(placed.select("rep", every.alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("y")), ["rep", "i", "j"])
+        .where("x < y").select("x", "y").unionByName(tied).withColumn("similarity", F.lit(1.0))
     )
-    copies = small.where("rep <> doc_id")
-    a = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("ma"))
-    b = copies.select(F.col("rep").alias("b"), F.col("doc_id").alias("mb"))
-    of_a = links.unionByName(links.join(a, "a").select(F.col("ma").alias("a"), "b", "similarity"))
-    of_b = links.join(b, "b").select("a", F.col("mb").alias("b"), "similarity")
-    across = of_b.join(a, "a").select(F.col("ma").alias("a"), "b", "similarity")
-    met = of_a.unionByName(of_b).unionByName(across).select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity")
+
+    # both sides' blocks are named before either is spelt out, so a pair of keys yields one block times one block
+    met = links
+    for side in ("a", "b"):
+        cut = blocks.select(F.col("rep").alias(side), F.col("blocks").alias("_n"))
+        met = met.join(cut, side, "left").withColumn(f"_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    for side in ("a", "b"):
+        own = placed.select(F.col("rep").alias(side), F.col("block").alias(f"_{side}"), F.col("doc_id").alias("_own"))
+        met = met.join(own, [side, f"_{side}"], "left").withColumn(f"_{side}", F.coalesce("_own", side)).drop("_own")
+    met = met.select(F.col("_a").alias("x"), F.col("_b").alias("y"), "similarity")
     return (
         inside.unionByName(met)
         .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "similarity")

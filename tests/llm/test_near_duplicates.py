@@ -89,6 +89,17 @@ def test_large_class_is_linked_through_its_first(spark, monkeypatch):
     assert got == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
 
 
+def test_large_class_of_different_texts_gives_all_pairs(spark, monkeypatch):
+    """Equal term sets, each text its own, in classes of several blocks; exact copies are tied to their first."""
+    monkeypatch.setattr(nd, "EXPAND", 3)
+    monkeypatch.setattr(nd, "MEMBERS", 4)
+    rows = [(i, "a b c d e f" + "." * i) for i in range(12)] + [(20 + i, "A b c d e f g" + "!" * i) for i in range(9)]
+    rows += [(40 + i, "f e d c b a") for i in range(5)] + [(50, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in nd.pairs_of_records(*nd.similar_records(df)).collect()}
+    assert got == brute([r for r in rows if not 40 < r[0] < 50], 0.7) | {(40, 40 + i) for i in range(1, 5)}
+
+
 def test_chain_of_links_is_one_group(spark):
     base = [f"t{i}" for i in range(20)]
     rows = [(i, " ".join(base[i : i + 12])) for i in range(9)]
