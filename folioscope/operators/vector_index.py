@@ -47,13 +47,62 @@ def int8(vectors: DataFrame, column: str, query: list[float], k: int, oversample
     return exact(short, column, query, k)
 
 
-def signs(vectors: DataFrame, column: str, query: list[float], k: int, oversample: int = 8) -> DataFrame:
-    """Shortlist by the Hamming distance of sign bits around the mean, ranked again exactly."""
-    target = F.array(*[F.lit(float(x)) for x in query])
-    coded = vectors.where(F.col(column).isNotNull()).crossJoin(F.broadcast(centre(vectors, column)))
-    far = v.hamming(v.sign_bits(F.col(column), F.col("centre")), v.sign_bits(target, F.col("centre")))
-    short = coded.withColumn("_d", far).orderBy("_d", "doc_id").limit(k * oversample)
-    return exact(short, column, query, k)
+#: Vectors and queries that meet in one task of :func:`signs`, about.
+SIGN_DOCS, SIGN_QUERIES = 20_000, 2_000
+
+
+def signs(vectors: DataFrame, column: str, queries: DataFrame, k: int, oversample: int = 8) -> DataFrame:
+    """``(query_id, doc_id, score)``: the k nearest of each ``(query_id, vector)``, found by sign bits.
+
+    The ``k * oversample`` nearest by the Hamming distance of the signs around
+    the mean give a score that the k-th best has at least.  The signs also say
+    how large a cosine can be (a component on the other side of the mean adds
+    nothing), and every vector that could reach that score is scored exactly,
+    so the result is exact whatever the data; only the work depends on it.
+    Vectors and queries meet in blocks; only k of a block go on.
+    """
+    ship_package(vectors.sparkSession)
+    own = vectors.where(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("array<double>").alias("v"))
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    mean = np.array(centre(own, "v").first()["centre"] or [], float)
+    rows, i = -(-own.count() // SIGN_DOCS) or 1, -(-asked.count() // SIGN_QUERIES) or 1
+    docs = own.withColumn("d", F.pmod(F.xxhash64("doc_id"), F.lit(rows)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(i - 1))))
+    wanted = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(i)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    met = docs.groupBy("d", "q").cogroup(wanted.groupBy("d", "q")).applyInPandas(
+        lambda x, p: _by_signs(x, p, mean, k, k * oversample), "query_id bigint, doc_id bigint, score double"
+    )
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
+def _by_signs(docs: pd.DataFrame, asked: pd.DataFrame, mean: np.ndarray, k: int, short: int) -> pd.DataFrame:
+    """The k nearest of one block; vectors of another length than the mean's score 0, as do zero vectors."""
+    out = []
+    if len(docs) and len(asked):
+        fit = lambda col: np.stack([x if len(x) == len(mean) else np.zeros(len(mean)) for x in col])
+        docs = docs.sort_values("doc_id", kind="stable")
+        ids, x = docs["doc_id"].to_numpy(), fit(docs["v"])
+        unit, above = _unit(x), x > mean
+        bits = np.packbits(above, axis=1)
+        size = np.linalg.norm(x, axis=1)
+        spread = np.divide(np.linalg.norm(x - mean, axis=1), size, out=np.zeros(len(x)), where=size > 0)
+        inverse = np.divide(1.0, size, out=np.zeros(len(x)), where=size > 0)
+        raw = fit(asked["vector"])
+        for qid, q, u in zip(asked["query_id"], raw, _unit(raw)):
+            far = np.bitwise_count(bits ^ np.packbits(q > mean)).sum(axis=1)
+            first = np.argpartition(far, short)[:short] if len(far) > short else np.arange(len(far))
+            scores = unit[first] @ u
+            least = np.sort(scores)[-k] if len(scores) >= k else -np.inf
+            # q.x = q.mean + q.(x - mean), and only components where q and x - mean agree in sign add to the latter
+            square = u * u
+            agree = np.where(above, square * (u > 0), square * (u < 0)).sum(axis=1)
+            most = (u @ mean) * inverse + np.sqrt(agree) * spread
+            # a component equal to the mean counts as below it, and adds nothing
+            could = np.flatnonzero((most >= least - 1e-9) | (size == 0))
+            scores = unit[could] @ u
+            top = np.lexsort((ids[could], -scores))[:k]
+            out.append(pd.DataFrame({"query_id": qid, "doc_id": ids[could][top], "score": scores[top]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
 
 @dataclass

@@ -266,14 +266,20 @@ def vector_int8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vector_sign_bits(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(vector_index.signs(_vectors(spark, sf), "embedding", list(_TARGET), 10))
+    """Ten neighbours of every vector whose id is divisible by 50."""
+    own = _vectors(spark, sf)
+    return vector_index.signs(own, "embedding", _asked(own), 10).withColumn("score", F.round("score", 6))
+
+
+def _asked(own: DataFrame) -> DataFrame:
+    return own.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 @query
 def vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Ten neighbours of every vector whose id is divisible by 50."""
     own = _vectors(spark, sf)
-    asked = own.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = _asked(own)
     return vector_index.cluster(own, "embedding", 16).search(asked, 10, 12)
 
 

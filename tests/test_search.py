@@ -136,6 +136,24 @@ def test_cluster_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_sign_bits_recall(spark, monkeypatch):
+    """Against brute force, on data where signs say little, in one block and in several."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 48)) + 0.3
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, v array<double>")
+    asked = df.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "v as vector")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {(i, int(j)) for i in range(0, 1500, 50) for j in np.argsort(-(unit @ unit[i]), kind="stable")[:10]}
+    for docs, queries in ((20_000, 2_000), (400, 11)):
+        monkeypatch.setattr(vector_index, "SIGN_DOCS", docs)
+        monkeypatch.setattr(vector_index, "SIGN_QUERIES", queries)
+        got = vector_index.signs(df, "v", asked, 10).collect()
+        assert {(r["query_id"], r["doc_id"]) for r in got} == want and len(got) == len(want)
+
+
 def test_parser():
     p = Parser("body")
     assert p.parse("+fox -dog brown^2") == q.Bool(must=(T("fox"),), should=(T("brown").boosted(2.0),), must_not=(T("dog"),))
