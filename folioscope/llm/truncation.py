@@ -13,6 +13,9 @@ combined, as log-odds, with evidence from the ending:
 * open brackets or code blocks, a last line shorter than a list's other lines;
 * a stated length above the real one.
 
+Closing lines, words and lengths are counted over distinct texts: copies of one
+text under other ids (blanks set aside) are one piece of evidence, not many.
+
 Lengths are counted in characters, in bytes of UTF-8, in characters after
 wrongly decoded accents are put right, and without a trailing ellipsis, since a
 limit may apply to any of these.
@@ -37,7 +40,7 @@ from .text import terms
 
 #: Share of cut texts assumed before any evidence.
 PRIOR = 0.08
-#: A closing line is common from this share of all texts on; so there are at most 1 / COMMON_LINE.
+#: A closing line is common from this share of all distinct texts on; so there are at most 1 / COMMON_LINE.
 COMMON_LINE = 4e-4
 #: A length is a candidate limit from this excess over its neighbourhood on.
 EXCESS = 6.0
@@ -117,7 +120,7 @@ def ending(text: str) -> dict:
 
 
 _ENDS = (
-    "doc_id bigint, source string, stated bigint, chars bigint, bytes bigint, repaired bigint, bare_chars bigint, "
+    "doc_id bigint, source string, stated bigint, hash bigint, chars bigint, bytes bigint, repaired bigint, bare_chars bigint, "
     "bare_bytes bigint, kind string, last string, word string, open boolean, short boolean"
 )
 
@@ -126,10 +129,10 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["chars", "bytes", "repaired", "bare_chars", "bare_bytes", "kind", "last", "word", "open", "short"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 3 + [pa.bool_()] * 2
     for batch in batches:
-        rows = [ending(t) for t in batch.column(3).to_pylist()]
+        rows = [ending(t) for t in batch.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)]],
-            ["doc_id", "source", "stated", *names],
+            [*batch.columns[:4], *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)]],
+            ["doc_id", "source", "stated", "hash", *names],
         )
 
 
@@ -221,11 +224,12 @@ def source_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, in
 def limits_of(ends: DataFrame) -> DataFrame:
     """``(source, measure, limit, texts, expected, posterior, mu, sigma)`` for every source.
 
-    Works on the histogram of lengths, one row per source, measure and length.
+    Works on the histogram of lengths, one row per source, measure and length;
+    a source's copies of a text count once.
     """
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])
     hist = (
-        ends.select(F.coalesce("source", F.lit("")).alias("source"), F.explode(measures).alias("m")).select("source", "m.*")
+        ends.select(F.coalesce("source", F.lit("")).alias("source"), "hash", *MEASURES).distinct().select("source", F.explode(measures).alias("m")).select("source", "m.*")
         .where("length > 0").groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -302,15 +306,19 @@ def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = one_row_per_id(
         spread(documents).select("doc_id", "source", F.col("n_chars").cast("long").alias("stated"), "text"), "doc_id"
     ).where("text is not null and text <> ''")
-    ends = stage(own.select("doc_id", "source", "stated", "text").mapInArrow(_ends, _ENDS), "ends")
+    own = own.withColumn("hash", F.xxhash64(F.translate("text", " \t\r\n\u00a0", "")))
+    ends = stage(own.select("doc_id", "source", "stated", "hash", "text").mapInArrow(_ends, _ENDS), "ends")
+    # texts move only if the list of repeated ones is long
+    copied = stage(ends.groupBy("hash").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "copied-texts")
+    distinct = own.select("doc_id", "hash", "text").join(copied, "hash", "left").where("_first is null or doc_id = _first")
     words = stage(
-        own.select("text").mapInArrow(_words, "word string, n bigint, n_final bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final")),
+        distinct.select("text").mapInArrow(_words, "word string, n bigint, n_final bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final")),
         "words",
     )
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_final"), F.lit(0)).alias("f")).first()
-    texts = ends.count()
+    texts = ends.select("hash").distinct().count()
     least = max(4, math.ceil(COMMON_LINE * texts))
-    lines = ends.where("length(last) > 2").groupBy("last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    lines = ends.where("length(last) > 2").select("last", "hash").distinct().groupBy("last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     common = sorted(r["last"] for r in lines.collect())  # at most 1 / COMMON_LINE lines
     limits = stage(limits_of(ends), "limits")
 

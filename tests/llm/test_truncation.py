@@ -59,6 +59,19 @@ def test_detect(spark):
     assert rates["short"]["rate"] > rates["free"]["rate"]
 
 
+def test_copies_are_one_piece_of_evidence(spark):
+    """Copies of a cut text are all cut; copies of a whole one are not."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(sentence(rng) for _ in range(rng.randint(2, 16))), "free", None) for i in range(400)]
+    cut = "\n".join(sentence(rng) for _ in range(6)) + "\nThe foxwood of the oakmoor had nev"
+    whole = " ".join(sentence(rng) for _ in range(7))
+    rows += [(1000 + i, cut + " " * (i % 3), "free", None) for i in range(200)]
+    rows += [(2000 + i, whole, "free", None) for i in range(200)]
+    judged, limits = tr.detect(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
+    assert {r["doc_id"] for r in judged.where("cut").collect()} == set(range(1000, 1200))
+    assert limits.where("texts > 100").count() == 0
+
+
 def test_endings():
     assert tr.ending("A sentence. (more at noon)")["last"] == "(more at noon)"
     assert tr.ending("x\n```\ncode")["kind"] == "open-code"
