@@ -15,6 +15,12 @@ Method: bootstrapped contextual extraction.
 4. *Extraction.*  Occurrences whose instances or patterns reached the
    threshold are personal information, though no seed ever named them.
 
+What is *not* personal is a label of its own, seeded by header lines that hold
+routes, message ids and dates.  It spreads over the same graph, so a shape is
+trusted only if it is mostly seen in personal contexts, however many there are
+by chance.  A shape also needs the support of a known context, or of several
+learnt ones.
+
 Edges are aggregated before any join, so a pattern or shape that a third of
 all occurrences share is a single row per neighbour.
 """
@@ -38,6 +44,8 @@ TRUSTED = 0.5
 #: Occurrences that an unknown pattern or instance is assumed to have had in vain.
 DOUBT = 0.5
 
+#: Digits from which on a number may be personal; years, counts and times have fewer.
+LEAST_DIGITS = 6
 #: Header lines whose content is known: header -> what a number or address there is.
 SEED_HEADERS = {
     "from": ("email", "person_name"),
@@ -48,6 +56,13 @@ SEED_HEADERS = {
     "x-staff-id": ("id_number",),
     "x-snail": ("street_address",),
 }
+#: Header lines whose mail-like and number-like words name no person.
+PLAIN_HEADERS = (
+    "path", "message-id", "references", "in-reply-to", "xref", "newsgroups", "nntp-posting-host", "date", "expires", "lines",
+    "x-newsreader", "mime-version", "content-type", "content-length",
+)
+#: The label of what is no personal information.
+PLAIN = "plain"
 #: Shapes known without any header (9 a digit, A a capital).
 SEED_SHAPES = {
     "phone": ("999-999-9999", "(999) 999-9999", "+9 999 999 9999"),
@@ -63,9 +78,21 @@ PLACEHOLDERS = {
     "person_name": "[PERSON_NAME]",
 }
 
-_UP = "A-ZÀ-ÖØ-Þ"
+
+def _ranges(test) -> str:
+    """A character class of the letters of Latin, Greek, Cyrillic and Armenian script that pass a test."""
+    at = [c for c in range(0x590) if test(chr(c))]
+    runs = [(a, b) for a, b in zip([c for c in at if c - 1 not in at], [c for c in at if c + 1 not in at])]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+_UP = _ranges(str.isupper)
+_LOW = _ranges(str.islower)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*$")
+#: What the part before the @ is made of, read backwards; what may not stand before it.
+_LOCAL = re.compile(r"[\w.+-]*")
+_NO_LOCAL_SET = frozenset("$%!@")
+_LOCAL_FIRST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 _SPELT_HINT = re.compile(r"[(\[]\s?[aA][tT]\s?[)\]]|\s(?:dot|DOT)\s")
 _SPELT = re.compile(
     r"(?<![\w.+$%!@-])[A-Za-z0-9_][\w.+-]*\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?[A-Za-z0-9-]+"
@@ -75,21 +102,24 @@ _SPELT = re.compile(
 _BANG_HINT = re.compile(r"![\w.+-]*[A-Za-z0-9]")
 _BANG = re.compile(r"(?<![\w.+$%!@-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:![\w.+-]*[A-Za-z0-9])+(?![\w@!])")
 _NUMBER = re.compile(
-    r"(?<![\w@.$+/<(-])(?:"
+    r"(?=[A-Z\d+(])(?<![\w@.$+/<(-])(?:"
     r"[A-Z]{1,2} ?\d[\d ]{3,12}\d ?[A-Z]?(?![\w@])"
     r"|(?:\+\d{1,3}[ .-]?)?\(?\d[\d)]*(?:[ ./-]\(?\d[\d)]*|(?<=\)) ?\d+)*(?:-[A-Z])?(?: (?:x|ext\.? ?)\d{1,6})?(?![\w@])"
     r")"
 )
-_STREET = re.compile(rf"(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?)(?P<way>(?: [{_UP}][\w'’-]*){{1,4}})(?P<dot>\.?)")
+_STREET = re.compile(rf"(?=\d)(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?)(?P<way>(?: [{_UP}][\w'’-]*){{1,4}})(?P<dot>\.?)")
 _UNIT = re.compile(r"(?<![\w.])(?:Apt|Unit|Suite|Flat|Apartment|No)\.? ?\w{1,5}, $")
 _BOX = re.compile(r"(?<![\w.])P\.? ?O\.? ?Box \d+")
 _STRASSE = re.compile(rf"(?<![\w.])[{_UP}][\w-]+(?: [{_UP}][\w-]+)? \d{{1,4}}[a-z]?(?=, \d{{4,5}} [{_UP}])")
 _STRASSE_HINT = re.compile(rf"\d[a-z]?, \d{{4,5}} [{_UP}]")
 _TOWN = re.compile(rf"(?P<code1>, \d{{4,5}} [{_UP}][\w-]*\w)?(?P<town>, [{_UP}][\w'’-]*\w)?(?P<code> \d{{4,6}}(?!\w))?")
 _NAME = re.compile(
-    rf"(?<![\w@.'’-])(?=(?P<a>[{_UP}][\w'’-]*[\w]|[{_UP}]\.)(?P<c>,?) (?P<m>(?:[{_UP}]\. ){{0,2}})(?P<b>[{_UP}][\w'’-]*\w|[{_UP}]\.(?! ?[{_UP}]\.))(?![\w@]))"
+    rf"(?=[{_UP}])(?<![\w@.'’-])(?=(?P<a>[{_UP}][\w'’-]*[\w]|[{_UP}]\.)(?P<c>,?) (?P<m>(?:[{_UP}]\. ){{0,2}})(?P<b>[{_UP}][\w'’-]*\w|[{_UP}]\.(?! ?[{_UP}]\.))(?![\w@]))"
 )
 _AROUND = re.compile(r"\n|[\w'’.-]*\w|[^\w\s]")
+_LOWER = re.compile(rf"(?=[{_LOW}])(?<![\w@.'’-])(?=(?P<a>[{_LOW}][\w'’-]*\w|[{_LOW}]\.)(?P<c>,?) (?P<b>[{_LOW}][\w'’-]*\w|[{_LOW}]\.(?! ?[{_LOW}]\.))(?![\w@]))")
+#: Names of a lexicon are looked for as whole words of letters and digits.
+_BLANKED = {i: " " for i in range(128) if not chr(i).isalnum()}
 _WRAP = re.compile(r"(?<=[a-zà-ÿ,;])\n(?=[^\n]|$)")
 _DIGITS = re.compile(r"\d+")
 _HEADER = re.compile(r"^([A-Za-z][A-Za-z-]*):", re.M)
@@ -112,17 +142,26 @@ def _norm(token: str) -> str:
 
 def _context(text: str, start: int, stop: int) -> tuple[str, str]:
     """The two tokens before (near), and those with the one behind (wide)."""
-    left = [_norm(t) for t in _AROUND.findall(_WRAP.sub(" ", text[max(0, start - 40) : start]))[-2:]]
-    if start == 0 or (len(left) < 2 and start < 40):
+    width = 40
+    while True:
+        low = max(0, start - width)
+        found = _AROUND.findall(_WRAP.sub(" ", text[low:start]))
+        if len(found) > 2 or not low:  # the first of a cut stretch may be part of a token
+            break
+        width *= 4
+    left = [_norm(t) for t in found[-2:]]
+    if start == 0 or len(left) < 2:
         left = (["¶", *left])[-2:]
-    right = _AROUND.search(text, stop, stop + 25)
+    right = _AROUND.search(text, stop)
     behind = "¶" if right is None else _norm(right.group())
     near = " ".join(left)
     return near, f"{near} _ {behind}"
 
 
 def _shape(number: str) -> str:
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", re.sub(r"(?:x|ext\.? ?)\d+$", "x9", number)))
+    """Digits as 9 (a run of more than twenty as ``9+``), capitals as A, an extension as x9."""
+    digits = re.sub(r"\d", "9", re.sub(r"(?:x|ext\.? ?)\d+$", "x9", number))
+    return re.sub(r"9{21,}", "9+", re.sub(r"[A-Z]", "A", digits))
 
 
 def _mail_shape(mail: str) -> str:
@@ -134,19 +173,25 @@ def _mail_shape(mail: str) -> str:
             local = re.sub(r"[A-Z]+", "X", local)
         return "@" + re.sub(r"[a-z]+", "a", re.sub(r"\d+", "0", local if mixed else local.lower()))
     if "!" in low:
-        parts = low.lower().split("!")
-        return "!" + ("host" if any("." in p for p in parts) or re.search(r"for-mail$", low) else "path")
+        # the last part is a mailbox, whatever points it has
+        return "!" + ("route" if "." in low.rpartition("!")[0] else "relay")
     return "at " + ("dot" if re.search(r"dot", low, re.I) else "plain") + ("(" if "(" in low else "[" if "[" in low else "")
 
 
 def _mails(text: str) -> list[tuple[int, int]]:
     """Spans that may be mail addresses, however they are written."""
     out = []
-    at = text.find("@")
+    at, turned = text.find("@"), ""
+    if at >= 0:
+        turned, n = text[::-1], len(text)
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 256), at), _DOMAIN.match(text, at + 1)
-        if local and domain and local.start() > max(0, at - 256) - (at < 256):
-            out.append((local.start(), domain.end()))
+        # the whole local part, however long, from the @ backwards
+        local = _LOCAL.match(turned, n - at).group()[::-1]
+        start = at - len(local.lstrip(".+-"))
+        before = text[at - len(local) - 1 : at - len(local)]
+        domain = _DOMAIN.match(text, at + 1)
+        if domain and start < at and before not in _NO_LOCAL_SET and text[start] in _LOCAL_FIRST:
+            out.append((start, domain.end()))
         at = text.find("@", at + 1)
     if _SPELT_HINT.search(text):
         out += [m.span() for m in _SPELT.finditer(text)]
@@ -172,8 +217,12 @@ def _addresses(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def candidates_in(text: str, headers: bool = False) -> list[tuple]:
-    """Every candidate of a text: (start, stop, surface, lexer, one, two, near, wide)."""
+def candidates_in(text: str, headers: bool = False, lexicon: frozenset[str] = frozenset()) -> list[tuple]:
+    """Every candidate of a text: (start, stop, surface, lexer, one, two, near, wide).
+
+    Pairs of words in lower case are candidates where one of them is in
+    ``lexicon``; they teach nothing, as most such words are no names.
+    """
     found = []
     marks: list[tuple[int, str]] = []
     if headers:
@@ -205,7 +254,7 @@ def candidates_in(text: str, headers: bool = False) -> list[tuple]:
         if surface.count("(") != surface.count(")"):
             surface = surface.rstrip(")") if surface.count(")") > surface.count("(") else surface
             e = s + len(surface)
-        if digits < 6 or digits > 16:
+        if digits < LEAST_DIGITS:
             continue
         if any(a < e and s < b for a, b in taken):
             continue
@@ -220,10 +269,16 @@ def candidates_in(text: str, headers: bool = False) -> list[tuple]:
         if b[-1] == "." and not m["c"]:
             continue
         found.append((s, e, text[s:e], "name" if not m["c"] else "name,", a.casefold(), b.casefold(), *around(s, e)))
+    if lexicon and not lexicon.isdisjoint(text.translate(_BLANKED).split()):
+        for m in _LOWER.finditer(text):
+            a, b = m["a"], m["b"]
+            if a in lexicon or b in lexicon:
+                s, e = m.start("a"), m.end("b")
+                found.append((s, e, text[s:e], "lower" + m["c"], a, b, "", ""))
     return found
 
 
-def _lex(fields: list[str]):
+def _lex(fields: list[str], lexicon: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -231,7 +286,7 @@ def _lex(fields: list[str]):
             for i, field in enumerate(fields):
                 for doc, text in zip(ids, batch.column(i + 1).to_pylist()):
                     if text:
-                        rows += [(doc, field, *c) for c in candidates_in(text, field == "headers")]
+                        rows += [(doc, field, *c) for c in candidates_in(text, field == "headers", lexicon)]
             cols = list(zip(*rows)) if rows else [[]] * 10
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
             yield pa.RecordBatch.from_arrays(
@@ -242,10 +297,27 @@ def _lex(fields: list[str]):
     return run
 
 
-def candidates(records: DataFrame, fields: list[str]) -> DataFrame:
-    """All candidates of ``(doc_id, *fields)``; null fields have none."""
+#: Names of a lexicon that lexers take along, at most; a larger one is an error.
+LEXICON = 1_000_000
+
+
+def _known(names: DataFrame) -> frozenset[str]:
+    """The names of a lexicon in lower case, a list of bounded size."""
+    rows = names.where("name is not null and kind in ('given', 'family')").select(F.lower("name").alias("n")).distinct().limit(LEXICON + 1).collect()
+    if len(rows) > LEXICON:
+        raise ValueError(f"a lexicon has more than {LEXICON} names")
+    return frozenset(r["n"] for r in rows)
+
+
+def candidates(records: DataFrame, fields: list[str], names: DataFrame | None = None) -> DataFrame:
+    """All candidates of ``(doc_id, *fields)``; null fields have none.
+
+    Words in lower case are looked at where ``names`` lists one of them.
+    """
     ship_package(records.sparkSession)
-    return spread(records.select("doc_id", *fields)).where("doc_id is not null").mapInArrow(_lex(fields), _CANDIDATES)
+    lexicon = frozenset() if names is None else _known(names)
+    own = spread(records.select("doc_id", *fields)).where("doc_id is not null")
+    return own.mapInArrow(_lex(fields, lexicon), _CANDIDATES)
 
 
 def _instances(c: DataFrame) -> DataFrame:
@@ -271,7 +343,7 @@ def _instances(c: DataFrame) -> DataFrame:
         ),
     )
     return (
-        c.select("near", "wide", F.posexplode(roles).alias("_i", "_r"), partner.alias("_p"))
+        c.where(~F.col("lexer").startswith("lower")).select("near", "wide", F.posexplode(roles).alias("_i", "_r"), partner.alias("_p"))
         .select(
             F.col("_r.role").alias("role"),
             F.col("_r.inst").alias("inst"),
@@ -282,14 +354,16 @@ def _instances(c: DataFrame) -> DataFrame:
 
 
 #: What each role may turn out to be.
-_LABELS = {"mail": ("email",), "number": ("phone", "id_number"), "postal": ("street_address",), "given": ("person_name",), "family": ("person_name",)}
+_LABELS = {"mail": ("email", PLAIN), "number": ("phone", "id_number", PLAIN), "postal": ("street_address",), "given": ("person_name",), "family": ("person_name",)}
 
 
 def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Score instances and patterns: ``(role, inst, label, conf)``, ``(role, pat, label, conf)``.
 
     ``c`` are candidates (a stage table), ``names`` is ``(name, kind)`` with
-    ``kind`` ``given`` or ``family``.
+    ``kind`` ``given`` or ``family``.  Header lines with a known meaning keep
+    the labels they are given; a shape needs the trust of contexts that add up
+    to one at least, that is one known or two learnt.
     """
     spark = c.sparkSession
     edges = stage(
@@ -307,7 +381,7 @@ def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Dat
         for label in labels
         for role, may in _LABELS.items()
         if label in may and label != "person_name"
-    ]
+    ] + [(role, f"H:{header}", PLAIN, 1.0) for header in PLAIN_HEADERS for role in ("mail", "number")]
     fixed = spark.createDataFrame(headers, "role string, pat string, label string, conf double")
     inst = seeds
     pats = fixed
@@ -316,10 +390,12 @@ def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Dat
     for i in range(rounds):
         held = edges.join(inst, ["role", "inst"]).groupBy("role", "pat", "label").agg(F.sum(F.col("n") * F.col("conf")).alias("good"))
         learnt = held.join(weight, ["role", "pat"]).select("role", "pat", "label", (F.col("good") / (F.col("all") + DOUBT)).alias("conf"))
-        pats = learnt.unionByName(fixed).groupBy("role", "pat", "label").agg(F.max("conf").alias("conf"))
+        pats = learnt.join(F.broadcast(fixed.select("role", "pat").distinct()), ["role", "pat"], "left_anti").unionByName(fixed)
         strong = pats.where(F.col("conf") >= TRUSTED)
         seen = edges.join(strong, ["role", "pat"]).groupBy("role", "inst", "label").agg(
-            F.sum(F.col("n") * F.col("conf")).alias("good"), F.max("conf").alias("best")
+            F.sum(F.col("n") * F.col("conf")).alias("good"),
+            F.max("conf").alias("best"),
+            F.sum(F.when(~F.contains("pat", F.lit(" _ ")), F.col("conf")).otherwise(0.0)).alias("support"),
         )
         told = Window.partitionBy("role", "inst")
         grown = (
@@ -331,6 +407,7 @@ def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Dat
                     F.col("good") / (F.col("known") + DOUBT)
                 ),
             )
+            .where(F.col("role").isin("given", "family") | (F.col("support") >= 1.0))
             .select("role", "inst", "label", F.least(F.col("best"), F.col("share")).alias("conf"))
         )
         inst = stage(
@@ -342,15 +419,44 @@ def bootstrap(c: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[Dat
     return inst, pats
 
 
-def _lookup(c: DataFrame, model: DataFrame, role: str, key: Column, label: str, name: str, at: str = "inst") -> DataFrame:
-    own = model.where((F.col("role") == role) & (F.col("label") == label)).select(F.col(at).alias("_k"), F.col("conf").alias(name))
-    return c.join(own, key == F.col("_k"), "left").drop("_k")
+def _judged_names(c: DataFrame, inst: DataFrame, pats: DataFrame) -> DataFrame:
+    """Candidates of names with the confidence that they are names.
+
+    Names are judged once for each distinct pair of tokens, however often it
+    occurs, and the verdict is joined back; only contexts that could change a
+    verdict are looked up.
+    """
+    own = c.where(F.col("lexer").startswith("name") | F.col("lexer").startswith("lower"))
+    known = inst.where("label = 'person_name'")
+    pairs = own.groupBy("lexer", "one", "two").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    for token in ("one", "two"):
+        roles = known.groupBy(F.col("inst").alias(token)).agg(
+            *[F.max(F.when(F.col("role") == r, F.col("conf"))).alias(f"_{token}_{r}") for r in ("given", "family")]
+        )
+        pairs = pairs.join(roles, token, "left")
+    z = lambda col: F.coalesce(F.col(col), F.lit(0.0))
+    one_initial, two_initial = F.col("one").rlike(r"^\w\.$"), F.col("two").rlike(r"^\w\.$")
+    straight = F.when(one_initial, z("_two_family")).otherwise(F.least(z("_one_given"), z("_two_family")))
+    turned = F.when(two_initial, z("_one_family")).otherwise(F.least(z("_one_family"), z("_two_given")))
+    # a token speaks for its place only where it is not better known in the other one
+    rather = lambda mine, other: F.when(z(mine) >= z(other), z(mine)).otherwise(0.0)
+    either = F.when(F.col("lexer").endswith(","), F.greatest(rather("_one_family", "_one_given"), rather("_two_given", "_two_family"))).otherwise(
+        F.greatest(rather("_one_given", "_one_family"), rather("_two_family", "_two_given"))
+    )
+    judged = pairs.select("lexer", "one", "two", F.greatest(straight, turned).alias("_known"), either.alias("_either"))
+    wide = pats.where("role = 'given' and label = 'person_name' and conf >= 0.25").select(F.col("pat").alias("wide"), F.col("conf").alias("_wide"))
+    n = own.join(judged, ["lexer", "one", "two"]).join(wide, "wide", "left")
+    by_context = F.when(F.col("_either") >= TRUSTED, F.sqrt(z("_wide") * F.col("_either"))).otherwise(z("_wide") - 0.25)
+    return n.withColumn("conf", F.when(F.col("lexer").startswith("lower"), F.col("_known")).otherwise(F.greatest("_known", by_context)))
 
 
 def decide(c: DataFrame, inst: DataFrame, pats: DataFrame) -> DataFrame:
     """The candidates that are personal information, with ``kind`` and ``conf``."""
     keep = ["doc_id", "field", "start", "stop", "surface"]
-    best = inst.groupBy("role", "inst").agg(F.max_by("label", "conf").alias("kind"), F.max("conf").alias("_ic")).where(F.col("_ic") >= TRUSTED)
+    best = (
+        inst.groupBy("role", "inst").agg(F.max_by("label", "conf").alias("kind"), F.max("conf").alias("_ic"))
+        .where((F.col("_ic") >= TRUSTED) & (F.col("kind") != PLAIN))
+    )
     shaped = (
         c.where(F.col("lexer").isin("mail", "number"))
         .join(best, (F.col("lexer") == F.col("role")) & (F.col("one") == F.col("inst")))
@@ -374,19 +480,7 @@ def decide(c: DataFrame, inst: DataFrame, pats: DataFrame) -> DataFrame:
         F.lit("street_address").alias("kind"),
         F.coalesce("_c1", "_wc").alias("conf"),
     )
-    n = c.where(F.col("lexer").startswith("name"))
-    for token in ("one", "two"):
-        for role in ("given", "family"):
-            n = _lookup(n, inst, role, F.col(token), "person_name", f"_{token}_{role}")
-    n = _lookup(n, pats, "given", F.col("wide"), "person_name", "_wide", "pat")
-    one_initial, two_initial = F.col("one").rlike(r"^\w\.$"), F.col("two").rlike(r"^\w\.$")
-    z = lambda col: F.coalesce(F.col(col), F.lit(0.0))
-    straight = F.when(one_initial, z("_two_family")).otherwise(F.least(z("_one_given"), z("_two_family")))
-    turned = F.when(two_initial, z("_one_family")).otherwise(F.least(z("_one_family"), z("_two_given")))
-    either = F.greatest(z("_one_given"), z("_two_family"), z("_one_family"), z("_two_given"))
-    by_context = F.when(either >= TRUSTED, F.sqrt(z("_wide") * either)).otherwise(z("_wide") - 0.25)
-    n = n.withColumn("conf", F.greatest(straight, F.when((F.col("lexer") == "name,") | F.lit(True), turned), by_context))
-    n = n.where(F.col("conf") >= TRUSTED).select(*keep, F.lit("person_name").alias("kind"), "conf")
+    n = _judged_names(c, inst, pats).where(F.col("conf") >= TRUSTED).select(*keep, F.lit("person_name").alias("kind"), "conf")
     return shaped.select(*keep, "kind", "conf").unionByName(postal).unionByName(n)
 
 
@@ -417,7 +511,7 @@ def find(records: DataFrame, names: DataFrame, fields: list[str], rounds: int =
     fields give no rows; rows repeated with the same id and text give their
     spans once.  Columns of ``records`` other than those named are ignored.
     """
-    c = stage(candidates(records, fields), "pii-candidates")
+    c = stage(candidates(records, fields, names), "pii-candidates")
     inst, pats = bootstrap(c, names, rounds)
     hits = decide(c, inst, pats)
     grouped = hits.groupBy("doc_id", "field").agg(

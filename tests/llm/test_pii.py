@@ -69,3 +69,46 @@ def test_nothing(messages, names):
 def test_apart():
     spans = [dict(start=0, stop=5, kind="person_name", surface="x", conf=1.0), dict(start=3, stop=9, kind="email", surface="y", conf=0.6)]
     assert [s["kind"] for s in pii._apart(spans)] == ["email"]
+
+
+def test_whole_local_parts_contexts_and_numbers():
+    long = "a" * 400
+    got = found(f"write to {long}@x.example or --b.c@y.example; é@z.example")
+    assert {s for k, s in got if k == "mail"} == {f"{long}@x.example", "b.c@y.example"}
+    near = {c[6] for c in pii.candidates_in(f"call {'w' * 300} {'v' * 90} 555-123-4567") if c[3] == "number"}
+    assert near == {f"{'w' * 300} {'v' * 90}"}
+    assert ("number", "9" * 30) in found(f"account {'9' * 30} .")
+    assert pii._shape("9" * 30) == "9+"
+
+
+def test_lower_case_and_other_scripts():
+    lexicon = frozenset({"ada", "dorn"})
+    got = {(c[3], c[2]) for c in pii.candidates_in("ask ada dorn, or dorn, ada now; Łukasz Żak", lexicon=lexicon)}
+    assert {("lower", "ada dorn"), ("lower,", "dorn, ada"), ("name", "Łukasz Żak")} <= got
+
+
+def test_names_in_lower_case_are_found(spark, names):
+    rows = [(i, f"{g} {f}", None, None) for i, (g, f) in enumerate([("Ada", "Dorn"), ("Bo", "Elm")])] + [(9, "then bo elm said ada mill", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, from_addr string, headers string")
+    got = {(r["doc_id"], r["surface"]) for r in pii.find(df, names, FIELDS).collect()}
+    assert (9, "bo elm") in got and (9, "ada mill") not in got
+
+
+def test_routes_are_no_addresses(spark, names):
+    """Some true addresses of a shape do not make thousands of Path lines personal."""
+    rows = [(i, None, None, f"From: a.b@x{i}.example\nPath: n{i}.example!relay.m.example!not-for-mail\nMessage-ID: <1993Jan1.{i}@n.example>") for i in range(3000)]
+    rows += [(10_000 + i, f"Please write to ab@x{i}.example or reach me at cd@y{i}.example", None, None) for i in range(30)]
+    rows += [(20_000 + i, f"Please {way} m{i}.example!relay!user{i}", None, None) for i, way in enumerate(["write to", "reach me at", "write to"])]
+    rows += [(30_000 + i, f"Please {way} m!relay!user{i}", None, None) for i, way in enumerate(["write to", "reach me at", "write to"])]
+    df = spark.createDataFrame(rows, "doc_id long, body string, from_addr string, headers string")
+    got = {(r["doc_id"], r["kind"], r["surface"]) for r in pii.find(df, names, FIELDS).collect()}
+    assert not any(s.endswith("not-for-mail") or "Jan1" in s for _, _, s in got)
+    assert sum(k == "email" and d < 10_000 for d, k, _ in got) == 3000
+    assert {d for d, _, s in got if s.startswith("m!relay!user")} == {30_000, 30_001, 30_002}
+
+
+def test_introducing_words_are_no_names(spark, names):
+    rows = [(i, f"Quoting {g} {f}:\n> x\n", None, None) for i in range(40) for g in ("Ada", "Bo", "Cyr") for f in ("Dorn", "Elm", "Novo")]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, body string, from_addr string, headers string")
+    got = {r["surface"] for r in pii.find(df, names, FIELDS).collect()}
+    assert got and not any(s.startswith("Quoting") for s in got)
