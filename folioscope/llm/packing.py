@@ -65,9 +65,10 @@ class _Sizes:
             i -= 1
         return None
 
-    def smallest(self, without: Counter, n: int) -> list[int]:
+    def smallest(self, without: Counter, n: int, above: int = 0) -> list[int]:
+        """The n smallest items larger than ``above``, not counting those in ``without``."""
         out: list[int] = []
-        for s in self.order:
+        for s in self.order[bisect.bisect_right(self.order, above) :]:
             free = self.count[s] - without[s]
             out += [s] * min(free, n - len(out))
             if len(out) >= n:
@@ -111,7 +112,12 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Recipe]
     * no two further items fit beside j: {j, k} dominates every {j, i};
     * two may fit but no three, and k is at least as large as the best pair
       together: {j, k} dominates;
-    * the best pair (a, b) fills the container and a = k: {j, a, b} dominates.
+    * two may fit but no three, b is the largest that fits beside j and k, and
+      no two items larger than b fit beside j: {j, k, b} dominates, as every
+      pair has a larger item of at most k and a smaller one of at most b.
+
+    A filling dominates another when the other can be parted so that each part
+    is no larger than an item of its own in the first.
 
     Any other j stays for best-fit, and may still join a smaller item's
     container.  A rule that fixes one container holds for as many equal ones as
@@ -146,13 +152,16 @@ def _dominating(items: _Sizes, j: int, capacity: int) -> tuple[int, ...] | None:
     least = items.smallest(none, 3)
     if len(least) < 2 or least[0] + least[1] > room:
         return (j, k)
+    if len(least) > 2 and sum(least) <= room:
+        return None
     pair = _best_pair(items, room, none)
-    if pair is None:
-        return (j, k)
-    if pair[0] == k and sum(pair) == room:
-        return (j, *pair)
-    if k >= sum(pair) and (len(least) < 3 or sum(least) > room):
+    if pair is None or k >= sum(pair):
         return (j, k)
+    b = items.at_most(room - k, none + Counter({k: 1}))
+    if b is not None:
+        larger = items.smallest(none, 2, above=b)
+        if len(larger) < 2 or sum(larger) > room:
+            return (j, k, b)
     return None
 
 

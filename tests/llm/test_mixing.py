@@ -59,3 +59,26 @@ def test_pool(spark):
     got = {r["doc_id"]: r for r in mixing.pool(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, lang string, tokens int")).collect()}
     assert set(got) == {1, 5}
     assert (got[1]["lang"], got[5]["lang"], got[5]["topic"]) == ("en", "und", "issue") and got[1]["tokens"] == 3
+
+
+def test_scarce_source_makes_the_mix_smaller(spark, pool):
+    """All shares are met at the largest size at which the scarce source has its own."""
+    target = spark.createDataFrame([("m", "big", 0.7, 2), ("m", "small", 0.3, 5), ("n", "big", 0.9, 2), ("n", "tiny", 0.1, 3), ("g", "big", 0.5, 2), ("g", "gone", 0.5, 2)], MIX)
+    chosen, report = mixing.mix(pool, target)
+    got = {(r["mix_id"], r["source"]): r for r in mixing.shares(chosen, report).collect()}
+    assert all(r["settled"] for r in got.values())
+    assert not got[("m", "small")]["reachable"] and got[("m", "small")]["chosen_tokens"] == 15_000
+    assert got[("m", "big")]["share"] == pytest.approx(0.7, abs=0.002) and got[("m", "small")]["share"] == pytest.approx(0.3, abs=0.002)
+    # a single tiny document does not shrink the mix below a tenth of its pool
+    size = got[("n", "big")]["available"] + got[("n", "tiny")]["available"]
+    assert got[("n", "big")]["goal_tokens"] == pytest.approx(0.9 * mixing.LEAST_SIZE * size)
+    assert got[("n", "tiny")]["chosen_tokens"] == 150
+    assert got[("g", "big")]["share"] == 1.0 and got[("g", "big")]["pool_share"] == pytest.approx(1.0, abs=0.002)
+
+
+def test_raking_says_whether_it_settled():
+    one = np.array([0, 0, 1, 1])
+    two = np.array([0, 1, 0, 1])
+    x, settled = mixing.raked(np.array([1.0, 2, 3, 4]), [one, two], [np.array([5.0, 5]), np.array([3.0, 7])], rounds=1)
+    assert not settled and x.sum() == pytest.approx(10)
+    assert mixing.raked(np.array([1.0, 2, 3, 4]), [one, two], [np.array([5.0, 5]), np.array([3.0, 7])])[1]

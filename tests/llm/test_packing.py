@@ -42,6 +42,22 @@ def test_reduction_loses_nothing(sizes):
     assert sum(r.bins for r in fixed) + least_bins(rest, 20) == least_bins(sizes, 20)
 
 
+@given(st.lists(st.integers(3, 11), min_size=6, max_size=11))
+@settings(max_examples=300, deadline=None)
+def test_reduction_of_several_items_a_container(sizes):
+    fixed, left = packing.reduce_instance(Counter(sizes), 20)
+    rest = [s for s, n in left.items() for _ in range(n)]
+    assert sum(r.bins for r in fixed) + least_bins(rest, 20) == least_bins(sizes, 20)
+
+
+def test_reduction_keeps_triples_open():
+    """Fixing {10, 7, 3} would need a fourth container."""
+    sizes = [10, 7, 7, 6, 6, 6, 5, 5, 5, 3]
+    fixed, left = packing.reduce_instance(Counter(sizes), 20)
+    rest = [s for s, n in left.items() for _ in range(n)]
+    assert sum(r.bins for r in fixed) + least_bins(rest, 20) == least_bins(sizes, 20) == 3
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=12))
 @settings(max_examples=100, deadline=None)
 def test_recipes_use_every_item_once(counts):
