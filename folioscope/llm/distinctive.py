@@ -18,8 +18,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package, stage
@@ -46,22 +47,28 @@ def log_odds_z(tf: Column, n: Column, cf: Column, total: Column, prior: float =
 def _emit(min_count: int, min_length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, counts, sizes = [], [], [], []
+            found: list[str] = []
+            counts: list[int] = []
+            ids, sizes, each = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                own = terms(text)
-                n = len(own)
-                for term, tf in Counter(own).items():
-                    if tf >= min_count and len(term) >= min_length:
-                        ids.append(doc)
-                        found.append(term)
-                        counts.append(tf)
-                        sizes.append(n)
+                words = terms(text)
+                own = Counter(words)
+                if min_count > 1 or min_length > 1:
+                    own = {t: c for t, c in own.items() if c >= min_count and len(t) >= min_length}
+                found.extend(own)
+                counts.extend(own.values())
+                ids.append(doc)
+                sizes.append(len(words))
+                each.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())],
+                [
+                    pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(found, pa.string()), pa.array(counts, pa.int64()),
+                    pa.array(np.repeat(np.array(sizes, np.int64), each)),
+                ],
                 ["doc_id", "term", "tf", "record_terms"],
-            )
+            )
 
     return pairs
 
@@ -142,6 +149,16 @@ def distinctive_terms(
     return score(record_terms(records, min_count, min_length), stats, prior, min_records, max_records)
 
 
+def most_distinctive(scored: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The n terms of each record with the highest z (to six places), ties by term; adds ``place`` from 1.
+
+    Spark keeps n rows of a record in each task before it moves any.
+    """
+    rows = scored.withColumn("z", F.round("z", 6))
+    order = Window.partitionBy(*by).orderBy(F.col("z").desc_nulls_last(), "term")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))
+
+
 def distinctive_postings(postings: DataFrame, prior: float = PRIOR) -> DataFrame:
     """Score postings ``(term, doc_id, frequency)`` by their frequency.
 

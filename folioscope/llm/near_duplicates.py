@@ -284,13 +284,8 @@ def _boundary(costs: list, sets: int) -> int:
     return at
 
 
-def _signatures(t: float, boundary: int, cells: dict[int, int], counting: bool) -> Callable:
-    """One row per set and signature; ``counting`` gives only the length of each list.
-
-    ``cells`` names the lists that are split, and into how many cells a side.
-    """
-    split_keys = np.array(sorted(cells), np.int64)
-    split_by = np.array([cells[k] for k in sorted(cells)], np.int64)
+def _signatures(t: float, boundary: int, counting: bool) -> Callable:
+    """One row per set and signature; ``counting`` gives only the length of each list."""
 
     def rows_of(f: _Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         light = f.n <= boundary
@@ -329,44 +324,36 @@ def _signatures(t: float, boundary: int, cells: dict[int, int], counting: bool)
                 keys, counts = np.unique(sig, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["sig", "rows"])
                 continue
-            cell = np.zeros(len(sig), np.int32)
-            if len(split_keys):
-                owner, sig, index, cell = _cells(f.ids, owner, sig, index, split_keys, split_by)
             sk = f.sketches()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(sig),
-                    pa.array(cell),
                     pa.array((f.n[owner] * 2 + index).astype(np.int32)),
                     pa.array(f.ids[owner]),
                     sk.take(pa.array(owner)),
                 ],
-                ["sig", "cell", "size", "doc_id", "sketch"],
+                ["sig", "size", "doc_id", "sketch"],
             )
 
     return run
 
 
-def _cells(ids, owner, sig, index, keys, by):
-    """Copy the rows of long lists to the cells of a triangle.
+def _cells(signed: DataFrame, long: DataFrame) -> DataFrame:
+    """Copy the rows of long lists ``(sig, by)`` to the cells of a triangle.
 
     The rows of a list split s ways fall into s blocks by the hash of the id;
     block i meets block j in cell (i, j), i <= j, so a row has s copies and a
     cell two blocks of bounded length.  In cell (i, j) with i < j only pairs
     across the blocks are new, but seeing the others again does no harm.
     """
-    at = np.searchsorted(keys, sig)
-    at[at == len(keys)] = 0
-    s = np.where(keys[at] == sig, by[at], 1)
-    copies = np.repeat(np.arange(len(sig)), s)
-    other = _ramp(s)
-    s = s[copies]
-    block = (_mix(ids[owner[copies]]) % s.astype(np.uint64)).astype(np.int64)
-    low, high = np.minimum(block, other), np.maximum(block, other)
-    return owner[copies], sig[copies], index[copies], (low * s + high).astype(np.int32)
+    block = F.pmod(F.xxhash64("doc_id"), F.col("by")).cast("int")
+    spread_out = F.when(F.col("by").isNotNull(), F.sequence(F.lit(0), F.col("by") - 1)).otherwise(F.array(F.lit(-1)))
+    at = signed.join(long, "sig", "left").withColumn("_i", block).withColumn("_j", F.explode(spread_out))
+    cell = F.when(F.col("by").isNull(), 0).otherwise(F.least("_i", "_j") * F.col("by") + F.greatest("_i", "_j"))
+    return at.select("sig", cell.alias("cell"), "size", "doc_id", "sketch")
 
 
-_ROWS = "sig bigint, cell int, size int, doc_id bigint, sketch binary"
+_ROWS = "sig bigint, size int, doc_id bigint, sketch binary"
 
 
 def _bound(t: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -535,19 +522,20 @@ def similar_records(records: DataFrame, t: float = 0.7, boundary: int | None = N
     shared = stage(members.join(classes.where("size > 1"), ["hi", "lo"]).select("rep", "copy", "doc_id"), "class-members")
     spare = shared.where("rep <> doc_id").select("doc_id").distinct()
     # rows loaded twice give equal sets under one id; in the lists they meet only themselves
-    reps = (
+    reps = stage(
         sets.join(spare, "doc_id", "left_anti").join(odd, "doc_id", "left")
-        .where("_hi is null or (hi = _hi and lo = _lo)").drop("_hi", "_lo")
+        .where("_hi is null or (hi = _hi and lo = _lo)").select("doc_id", "n", "rare", "frequent"),
+        "representatives",
     )
 
     if boundary is None:
         costs = reps.mapInArrow(_cost(t, share), "n int, rows1 double, meet1 double, rows2 double, meet2 double")
         summed = costs.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("rows1", "meet1", "rows2", "meet2")]).collect()
         boundary = _boundary(summed, n_texts)
-    lengths = reps.mapInArrow(_signatures(t, boundary, {}, True), "sig bigint, rows bigint").groupBy("sig").agg(F.sum("rows").alias("rows"))
-    long = {r["sig"]: -(-r["rows"] // BLOCK) + 1 for r in lengths.where(F.col("rows") > BLOCK).collect()}
+    lengths = reps.mapInArrow(_signatures(t, boundary, True), "sig bigint, rows bigint").groupBy("sig").agg(F.sum("rows").alias("rows"))
+    long = stage(lengths.where(F.col("rows") > BLOCK).select("sig", (F.ceil(F.col("rows") / BLOCK) + 1).cast("int").alias("by")), "long-lists")
 
-    signed = reps.mapInArrow(_signatures(t, boundary, long, False), _ROWS)
+    signed = _cells(reps.mapInArrow(_signatures(t, boundary, False), _ROWS), long)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = signed.repartition(parts, "sig", "cell").sortWithinPartitions("sig", "cell", "size").mapInArrow(_meet(t), "a bigint, b bigint")
     candidates = stage(met.distinct(), "candidates")
@@ -613,12 +601,14 @@ def pairs_of_records(links: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def groups(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(links: DataFrame, members: DataFrame, rounds: int = 100) -> DataFrame:
     """``(doc_id, group_id, links)``: connected components of the links.
 
-    Every record comes out once, with the smallest id of its component and its
-    class's number of links.  Labels are spread by alternating large-star and
-    small-star steps on the edges, each a stage table, until none changes.
+    Every record comes out once, with the smallest id of its component and the
+    number of records it is similar to.  Labels are spread by alternating
+    large-star and small-star steps on the edges, each a stage table, until none
+    changes; the rounds they take grow with the logarithm of a component's
+    size, and labels that have not settled after ``rounds`` are an error.
     """
     edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
     for _ in range(rounds):
@@ -632,9 +622,15 @@ def groups(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
         edges = after
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     label = edges.groupBy(F.col("v").alias("rep")).agg(F.min("u").alias("group_id"))
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("rep").agg(F.count_distinct("doc_id").alias("size"))
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    others = sizes.select(F.col("rep").alias("other"), F.col("size").alias("_n"))
+    degree = ends.join(others, "other").groupBy("rep").agg(F.sum("_n").alias("links"))
+    count = F.col("size") - 1 + F.coalesce("links", F.lit(0))
     return (
-        members.join(label, "rep", "left").join(degree, "rep", "left")
-        .groupBy("doc_id").agg(F.min(F.coalesce("group_id", "rep")).alias("group_id"), F.max(F.coalesce("links", F.lit(0))).cast("long").alias("links"))
+        members.join(sizes, "rep").join(label, "rep", "left").join(degree, "rep", "left")
+        .groupBy("doc_id").agg(F.min(F.coalesce("group_id", "rep")).alias("group_id"), F.max(count).cast("long").alias("links"))
     )

@@ -13,31 +13,38 @@ from . import distinctive, mixing, near_duplicates, new_text, packing, pii, term
 BODIES = ("newsgroup_message", "book_paragraph")
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+def _scored_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of every body with its score."""
     out = None
     for tab in BODIES:
         records = term_counts.text_records(table(spark, sf, tab), "doc_id", "body")
-        scored = distinctive.distinctive_terms(records, min_count=3, min_length=4, min_records=2, max_records=6)
-        own = scored.where("z > 0 and not term rlike '^[\\\\p{Nd}]+$'").select(F.lit(tab).alias("tab"), "doc_id", "term")
+        own = distinctive.distinctive_terms(records).withColumn("tab", F.lit(tab))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    told = _scored_bodies(spark, sf).where("z > 0")
+    fit = told.where("tf >= 3 and records between 2 and 6 and length(term) >= 4 and not term rlike '^[\\\\p{Nd}]+$'")
+    return fit.select("tab", "doc_id", "term")
+
+
+def p1_body_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The three most characteristic terms of every body."""
+    return distinctive.most_distinctive(_scored_bodies(spark, sf), ["tab", "doc_id"], 3).select("tab", "doc_id", "place", "term", "tf", "z")
+
+
 def p1_posting_top(spark: SparkSession, sf: str) -> DataFrame:
     scored = distinctive.distinctive_postings(table(spark, sf, "posting_row"))
-    top = scored.groupBy("doc_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.round("z", 6)).alias("o"), "term", "tf"))), 1, 3).alias("top")
-    )
-    return top.select("doc_id", F.posexplode("top").alias("i", "t")).select(
-        "doc_id", (F.col("i") + 1).cast("long").alias("place"), "t.term", "t.tf", (-F.col("t.o")).alias("z")
-    )
+    return distinctive.most_distinctive(scored, ["doc_id"], 3).select("doc_id", "place", "term", "tf", "z")
 
 
 def _posting_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     known = table(spark, sf, "book_paragraph").select("doc_id").where("doc_id is not null").distinct()
     live = table(spark, sf, "posting_row").select("doc_id", "term", "frequency").join(known, "doc_id", "left_semi")
     once, counts = term_counts.posting_term_counts(live)
-    return counts, once.agg(F.count_distinct("doc_id").alias("n"))
+    # frequencies are asked for as well, so that both results read the one shuffle of the postings
+    return counts, once.agg(F.count_distinct("doc_id").alias("n"), F.max("tf").alias("_most")).where("n >= 0 and (_most is null or _most > 0)").select("n")
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:

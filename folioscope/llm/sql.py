@@ -14,6 +14,35 @@ def _p1(tab: str) -> str:
       where tf >= 3 and records between 2 and 6 and length(term) >= 4 and not regexp_full_match(term, '\\p{{Nd}}+')"""
 
 
+def _p1_top(tab: str) -> str:
+    return f"""
+      select '{tab}' as tab, doc_id, place, term, tf, z from (
+        select *, row_number() over (partition by doc_id order by z desc, term) as place from (
+          select doc_id, term, tf, round((ln((tf + a) / (n + 500.0 - tf - a)) - ln((cf - tf + a) / (t - n + 500.0 - (cf - tf + a))))
+                                         / sqrt(1 / (tf + a) + 1 / (cf - tf + a)), 6) as z
+          from (select *, cf * (500.0 / t) as a from (
+            select doc_id, term, tf, sum(tf) over (partition by doc_id) as n, sum(tf) over (partition by term) as cf,
+                   cast(sum(tf) over () as double) as t
+            from (select doc_id, term, count(*) as tf
+                  from (select doc_id, unnest({_TERMS.format("body")}) as term
+                        from (select doc_id, any_value(body) as body from {tab}
+                              where body is not null and doc_id is not null group by doc_id))
+                  group by doc_id, term)))))
+      where place <= 3"""
+
+
+def _p4(tab: str) -> str:
+    """All pairs of records that share at least 0.7 of their terms."""
+    return f"""
+      select '{tab}' as tab, a as doc_id_a, b as doc_id_b from (
+        with own as (select doc_id, list_distinct({_TERMS.format("body")}) as t
+                     from (select doc_id, any_value(body) as body from {tab} where body is not null and doc_id is not null group by doc_id)),
+             flat as (select doc_id, len(t) as n, unnest(t) as term from own)
+        select x.doc_id as a, y.doc_id as b from flat x join flat y on x.term = y.term and x.doc_id < y.doc_id
+          and x.n >= 0.7 * y.n and y.n >= 0.7 * x.n
+        group by x.doc_id, y.doc_id, x.n, y.n having count(*) >= 0.7 * (x.n + y.n - count(*)) - 1e-9)"""
+
+
 _PARAGRAPH_TERMS = f"""
   text_records as (select doc_id, any_value(body) as body from book_paragraph
                    where body is not null and doc_id is not null group by doc_id),
@@ -32,6 +61,7 @@ _PARAGRAPH_TERMS = f"""
 
 SQL = {
     "p1_found": _p1("newsgroup_message") + " union all " + _p1("book_paragraph"),
+    "p1_body_top": _p1_top("newsgroup_message") + " union all " + _p1_top("book_paragraph"),
     "p1_posting_top": """
       with pairs as (select doc_id, term, cast(max(frequency) as bigint) as tf from posting_row
                      where frequency > 0 and term is not null and doc_id is not null group by 1, 2),
@@ -46,6 +76,7 @@ SQL = {
       select doc_id, place, term, tf, z from (
         select *, row_number() over (partition by doc_id order by z desc, term) as place from scored)
       where place <= 3""",
+    "p4_found": _p4("book_paragraph") + " union all " + _p4("newsgroup_message"),
     "p2_found": f"with {_PARAGRAPH_TERMS} select tab, term, mark from marked where mark is not null",
     "p2_term_frequency": f"with {_PARAGRAPH_TERMS} select tab, term, occurrences, records, coalesce(mark, 'useful') as mark from marked",
 }

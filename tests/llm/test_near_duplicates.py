@@ -105,6 +105,16 @@ def test_chain_of_links_is_one_group(spark):
     rows = [(i, " ".join(base[i : i + 12])) for i in range(9)]
     links, members = nd.similar_records(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["group_id"] for r in nd.groups(links, members).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        nd.groups(links, members, rounds=1)
+
+
+def test_links_count_records(spark, monkeypatch):
+    """Each record's links are the records it is similar to, copies and members of other classes alike."""
+    rows = [(i, "a b c d e f" + "." * i) for i in range(4)] + [(10 + i, "a b c d e f g" + "!" * i) for i in range(3)] + [(20, "x y z")]
+    links, members = nd.similar_records(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["group_id"], r["links"]) for r in nd.groups(links, members).collect()}
+    assert got == {**{d: (0, 6) for d in (0, 1, 2, 3, 10, 11, 12)}, 20: (20, 0)}
 
 
 def test_sketches_bound_the_difference():
