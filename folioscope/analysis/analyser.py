@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import filters, stemmers, tokenisers
+from . import filters, stemmers, streams, tokenisers
 from .charfilters import CharFilter
 from .stopwords import STOP_WORDS, stop_words
 
@@ -21,21 +21,29 @@ class Analyser:
     tokenise: tokenisers.Tokeniser
     token_filters: tuple[filters.TokenFilter, ...] = ()
     char_filters: tuple[CharFilter, ...] = ()
-    #: The same for one text on the driver, where a query is analysed; optional.
+    #: The terms of one text, one position each, in Python; optional.  Queries and indexes use it.
     local: Callable[[str], list[str]] | None = field(default=None, compare=False)
+    #: The tokens of one text with positions, offsets and types (see ``streams``); optional.
+    stream: streams.Source | None = field(default=None, compare=False)
 
-    def terms(self, text: Column) -> Column:
+    def prepared(self, text: Column) -> Column:
+        """The text after the character filters."""
         for f in self.char_filters:
             text = f(text)
-        tokens = self.tokenise(text)
+        return text
+
+    def terms(self, text: Column) -> Column:
+        tokens = self.tokenise(self.prepared(text))
         for f in self.token_filters:
             tokens = f(tokens)
         return tokens
 
     def of(self, text: str) -> list[str]:
         """Terms of a single text (a query); a one-row job where no local form exists."""
-        if self.local is not None:
+        if self.local is not None and not self.char_filters:
             return self.local(text)
+        if self.stream is not None and not self.char_filters:
+            return [t[0] for t in self.stream(text)]
         from pyspark.sql import SparkSession
 
         spark = SparkSession.getActiveSession()
@@ -48,55 +56,80 @@ class Analyser:
             cut = lambda t: F.when(F.size(t) <= most, t).otherwise(F.raise_error(over).cast("array<string>"))
         else:
             cut = filters.limit(most)
-        return Analyser(self.tokenise, (*self.token_filters, cut), self.char_filters)
+        own = self.stream and streams.chain(self.stream, streams.limit(most, reject))
+        return Analyser(self.tokenise, (*self.token_filters, cut), self.char_filters, stream=own)
+
+
+def streamed(source: streams.Source, *token_filters: streams.Filter, char_filters: tuple[CharFilter, ...] = ()) -> Analyser:
+    """An analyser of a token stream, whose filters may put several terms at a position."""
+    own = streams.chain(source, *token_filters)
+
+    def run(texts):
+        return pd.Series([[] if t is None else [x[0] for x in own(t)] for t in texts])
 
+    return Analyser(lambda text: F.pandas_udf(run, "array<string>")(text), (), char_filters, stream=own)
 
-def _local(stops: set[str], stem: Callable[[str], str] | None = None, pattern: str = r"[^\W_]+") -> Callable[[str], list[str]]:
-    find = re.compile(pattern)
+
+def _local(stops: Iterable[str], stem: Callable[[str], str] | None = None, find: Callable[[str], list[str]] = streams.terms_of) -> Callable[[str], list[str]]:
+    known: dict[str, str] = {}
+    left_out = {w.lower() for w in stops}
+
+    def stems(terms: list[str]) -> list[str]:
+        if len(known) > 200_000:
+            known.clear()
+        for t in terms:
+            if t not in known:
+                known[t] = stem(t)
+        return [known[t] for t in terms]
 
     def run(text: str) -> list[str]:
-        kept = [t.lower() for t in find.findall(text) if t.lower() not in stops]
-        return [stem(t) for t in kept] if stem else kept
+        kept = [low for t in find(text) if (low := t.lower()) not in left_out]
+        return stems(kept) if stem else kept
 
     return run
 
 
+def _built(tokenise: tokenisers.Tokeniser, listed: list[str], stemmer: stemmers.Stemmer | None, source: streams.Source, find) -> Analyser:
+    """Split, drop stop words, lower the case, stem: as columns, as terms and as a stream."""
+    columns: tuple = ((filters.stop(listed),) if listed else ()) + (filters.lowercase,) + ((filters.stem(stemmer),) if stemmer else ())
+    steps = [streams.stop(listed), streams.lowercase, *([streams.stem(stemmer)] if stemmer else [])]
+    return Analyser(tokenise, columns, local=_local(listed, stemmer, find), stream=streams.chain(source, *steps))
+
+
 def standard(stops: list[str] | None = None) -> Analyser:
     """Letters and digits, without stop words, in lower case."""
-    listed = STOP_WORDS["en"] if stops is None else stops
-    return Analyser(tokenisers.standard, (filters.stop(listed), filters.lowercase), local=_local({w.lower() for w in listed}))
+    return _built(tokenisers.standard, STOP_WORDS["en"] if stops is None else stops, None, streams.standard, streams.terms_of)
 
 
 def stemmed() -> Analyser:
     """The standard analyser and Porter's stemmer."""
-    return Analyser(
-        tokenisers.standard, (filters.stop(STOP_WORDS["en"]), filters.lowercase, filters.stem(stemmers.porter)),
-        local=_local(set(STOP_WORDS["en"]), stemmers.porter),
-    )
+    return with_stemmer(stemmers.porter)
 
 
 def with_stemmer(stemmer: stemmers.Stemmer, stops: list[str] | None = None) -> Analyser:
-    listed = STOP_WORDS["en"] if stops is None else stops
-    return Analyser(
-        tokenisers.standard, (filters.stop(listed), filters.lowercase, filters.stem(stemmer)), local=_local({w.lower() for w in listed}, stemmer)
-    )
+    return _built(tokenisers.standard, STOP_WORDS["en"] if stops is None else stops, stemmer, streams.standard, streams.terms_of)
+
+
+def _find(source: streams.Source) -> Callable[[str], list[str]]:
+    return lambda text: [t[0] for t in source(text)]
 
 
 def whitespace() -> Analyser:
-    return Analyser(tokenisers.whitespace, local=str.split)
+    return Analyser(tokenisers.whitespace, local=str.split, stream=streams.whitespace)
 
 
 def keyword() -> Analyser:
-    return Analyser(tokenisers.keyword, local=lambda t: [t])
+    return Analyser(tokenisers.keyword, local=_find(streams.keyword), stream=streams.keyword)
 
 
 def simple() -> Analyser:
     """Letters only, in lower case."""
-    return Analyser(tokenisers.letter, (filters.lowercase,), local=_local(set(), pattern=r"[^\W\d_]+"))
+    return _built(tokenisers.letter, [], None, streams.letter, _find(streams.letter))
 
 
 def icu() -> Analyser:
-    return Analyser(tokenisers.icu, (filters.lowercase,))
+    own = streams.matches(tokenisers.WORD)
+    return _built(tokenisers.icu, [], None, own, _find(own))
 
 
 def language(tag: str) -> Analyser:

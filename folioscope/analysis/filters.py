@@ -7,6 +7,7 @@ at one position return ``array<struct<term, pos>>`` and say so.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
@@ -54,17 +55,13 @@ def limit(n: int) -> TokenFilter:
     return lambda tokens: F.slice(tokens, 1, n)
 
 
-# Latin letters with marks, and what they fold to.
-MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-
-
 def accent_fold(tokens: Column) -> Column:
-    """Latin letters without their marks."""
-    return F.transform(tokens, lambda t: F.translate(t, MARKED + MARKED.upper(), PLAIN + PLAIN.upper()))
+    """Letters of any script without the marks that canonical decomposition parts from them."""
+    return _mapped(lambda t: [t if t.isascii() else phonetic.fold(t)], "array<string>")(tokens)
 
 
-_ZEROS = [0x660, 0x6F0, 0x7C0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xF20, 0x1040, 0x17E0, 0x1810, 0xFF10]
+#: Zeros of all scripts whose digits fit a character of 16 bits, from the Unicode database.
+_ZEROS = [c for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) == 0]
 
 
 def decimal_digits(tokens: Column) -> Column:
@@ -180,10 +177,19 @@ def flatten_graph(placed: Column) -> Column:
     return F.transform(F.sort_array(F.transform(placed, lambda t: F.struct(t["pos"], t["term"]))), lambda t: t["term"])
 
 
-def hyphenated(tokens: Column) -> Column:
-    """Join a token that ends in a hyphen with the one that follows."""
-    glue = F.array_join(F.transform(tokens, lambda t: F.when(t.endswith("-"), t).otherwise(F.concat(t, F.lit("\x01")))), "")
-    return F.filter(F.split(glue, "\x01"), lambda t: t != "")
+def hyphenated(placed: Column, separator: str = "-") -> Column:
+    """Join the terms of one position; takes and returns ``array<struct<term, pos>>``, by position."""
+
+    def run(batch):
+        rows = []
+        for tokens in batch:
+            own: dict[int, list[str]] = {}
+            for t in [] if tokens is None else tokens:
+                own.setdefault(int(t["pos"]), []).append(t["term"])
+            rows.append([{"term": separator.join(own[i]), "pos": i} for i in sorted(own)])
+        return pd.Series(rows)
+
+    return F.pandas_udf(run, _PLACED)(placed)
 
 
 # Characters that part the words of a token.

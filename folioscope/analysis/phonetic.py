@@ -8,24 +8,40 @@ import unicodedata
 # Spelling variants of names, tried in this order.
 VARIANTS = [("sch", "sk"), ("sch", "sh"), ("w", "v"), ("j", "y"), ("cz", "ts"), ("cz", "ch"), ("ph", "f"), ("tz", "ts"), ("kh", "h")]
 
-# Sounds, the first pattern that matches at a place wins; \A and \Z are the word's ends.
-SOUNDS = [
-    (r"\A[AEIOU]", lambda m: m.group()),
-    (r"[AEIOU]", ""),
-    (r"(?<=M)B\Z", ""), (r"B", "B"),
-    (r"CH", "X"), (r"CIA", "X"), (r"C[IEY]", "S"), (r"C", "K"),
-    (r"DG[EIY]", "J"), (r"D", "T"),
-    (r"[FJLMNR]", lambda m: m.group()),
-    (r"GH(?=[^AEIOU])", "K"), (r"GH", ""), (r"GN", "N"), (r"G[EIY]", "J"), (r"G", "K"),
-    (r"(?<![CSPTG])H(?=[AEIOU])", "H"), (r"H", ""),
-    (r"(?<=C)K", ""), (r"K", "K"),
-    (r"PH", "F"), (r"P", "P"), (r"Q", "K"),
-    (r"SH", "X"), (r"SI[OA]", "X"), (r"S", "S"),
-    (r"TH", "0"), (r"TI[OA]", "X"), (r"T(?=CH)", ""), (r"T", "T"),
-    (r"V", "F"), (r"[WY](?=[AEIOU])", lambda m: m.group()), (r"[WY]", ""),
-    (r"X", "KS"), (r"Z", "S"),
-]
-_RULES = [(re.compile(p), r) for p, r in SOUNDS]
+#: L. Philips, Hanging on the Metaphone, 1990, as substitutions in turn.  What a rule puts
+#: in is in lower case, so that no later rule takes it for a letter of the word.
+_RULES = [
+    (re.compile(pattern), code)
+    for pattern, code in [
+        (r"([ABD-Z])\1+", r"\1"),  # doubled letters count once, C apart
+        (r"^[KGP](?=N)|^A(?=E)|^W(?=R)", ""),  # silent at the start
+        (r"^X", "s"),
+        (r"^WH", "w"),
+        (r"(?<=M)B$", ""),
+        (r"TCH", "x"),
+        (r"SCH", "sk"),
+        (r"(?<=S)C(?=[IEY])", ""),
+        (r"CH|C(?=IA)", "x"),
+        (r"C(?=[IEY])", "s"),
+        (r"CK|C|Q", "k"),
+        (r"DG(?=[IEY])", "j"),
+        (r"GH(?=[^AEIOU])", ""),  # neither at the end nor before a vowel
+        (r"G(?=N$|NED$)", ""),
+        (r"G(?=[IEY])", "j"),
+        (r"GH?", "k"),
+        (r"PH", "f"),
+        (r"SH|S(?=I[OA])", "x"),
+        (r"TH", "0"),
+        (r"T(?=I[OA])", "x"),
+        (r"(?<=[AEIOU])H(?![AEIOU])", ""),
+        (r"[WY](?![AEIOU])", ""),
+        (r"D", "t"),
+        (r"V", "f"),
+        (r"X", "ks"),
+        (r"Z", "s"),
+        (r"(?<=.)[AEIOU]", ""),  # vowels are heard at the start only
+    ]
+]
 
 
 def fold(text: str) -> str:
@@ -34,23 +50,11 @@ def fold(text: str) -> str:
 
 
 def metaphone(word: str) -> str:
-    """A Metaphone-like code; empty for blank words."""
-    if not word.strip():
-        return ""
-    w = re.sub(r"([^C])\1+", r"\1", fold(word).upper())
-    w = re.sub(r"\A(?:[KGP](?=N)|A(?=E)|W(?=R))", "", w)
-    w = re.sub(r"\AX", "S", w)
-    out, at = "", 0
-    while at < len(w):
-        for pattern, code in _RULES:
-            m = pattern.match(w, at)
-            if m and m.end() > at:
-                out += code(m) if callable(code) else code
-                at = m.end()
-                break
-        else:
-            at += 1
-    return out
+    """The Metaphone code of a word; empty where it has no Latin letter."""
+    code = re.sub(r"[^A-Z]", "", fold(word).upper())
+    for pattern, made in _RULES:
+        code = pattern.sub(made, code)
+    return code.upper()
 
 
 def name_codes(word: str, most: int = 4) -> list[str]:

@@ -1,23 +1,20 @@
 """Changing, keeping and checking an index.
 
-A stored index is a folder of versions, each a complete set of tables; a small
-JSON file, replaced in one step, names the current one.
+A stored index is a folder of versions, each a complete set of tables; the
+latest of a few small numbered files names the current one.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import hashlib
 import json
-import os
-import shutil
 import time
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .build import Index, build, corpus_stats_of, open_index, term_stats_of, write
+from .build import ORDER, Index, build, corpus_stats_of, indexed, live, open_index, term_stats_of, write
+from ..runtime import Files
 from .schema import FieldSpec
 
 
@@ -27,8 +24,24 @@ def add(index: Index, docs: DataFrame) -> Index:
     return _with(index, index.docs.unionByName(more.docs, allowMissingColumns=True), index.postings.unionByName(more.postings))
 
 
+def add_blocks(index: Index, blocks: DataFrame, children: DataFrame, parent: str = "parent_id") -> Index:
+    """Add parents ``blocks`` with the ``children`` that name them, as one change.
+
+    Children of no given parent, and parents whose children cannot all be
+    added, are errors of the data; they are left out together, so no block is
+    ever there in part.  Both keep ``parent`` (null for parents).
+    """
+    known = blocks.where("doc_id is not null").select(F.col("doc_id").alias(parent)).distinct()
+    broken = children.where(F.col("doc_id").isNull()).select(parent).distinct()
+    whole = known.join(broken, parent, "left_anti")
+    tops = blocks.join(whole.select(F.col(parent).alias("doc_id")), "doc_id", "left_semi").withColumn(parent, F.lit(None).cast("long"))
+    inner = children.join(whole, parent, "left_semi")
+    return add(index, tops.unionByName(inner, allowMissingColumns=True))
+
+
 def merge(index: Index, other: Index) -> Index:
-    """Take in another index of the same fields."""
+    """Take in another index of the same fields; of a document in both the other's is kept."""
+    index = delete(index, other.docs)
     return _with(index, index.docs.unionByName(other.docs, allowMissingColumns=True), index.postings.unionByName(other.postings))
 
 
@@ -66,14 +79,13 @@ def purge(index: Index, keep_seconds: int = 86_400, now: Column | None = None) -
 
 
 def _with(index: Index, docs: DataFrame, postings: DataFrame) -> Index:
-    live = docs.where("deleted_at is null") if "deleted_at" in docs.columns else docs
-    named = [n for n, f in index.fields.items() if f.kind in ("text", "string")]
-    return dataclasses.replace(index, docs=docs, postings=postings, term_stats=term_stats_of(postings), corpus_stats=corpus_stats_of(live, postings, named))
+    stats = term_stats_of(postings)
+    return Index(docs, postings, stats, corpus_stats_of(live(docs), stats, indexed(index.fields)), index.fields)
 
 
 def compact(index: Index, files: int) -> Index:
-    """Fewer, larger parts of the postings, clustered by term."""
-    return dataclasses.replace(index, postings=index.postings.repartition(files, "term").sortWithinPartitions("field", "term", "doc_id"))
+    """Fewer, larger parts of the postings, in ranges of term and document."""
+    return dataclasses.replace(index, postings=index.postings.repartitionByRange(files, *ORDER).sortWithinPartitions(*ORDER))
 
 
 def sorted_by(index: Index, columns: list[Column]) -> Index:
@@ -100,42 +112,63 @@ def check(index: Index) -> DataFrame:
 
 
 class Store:
-    """Versions of an index in a folder."""
+    """Versions of an index in a folder of any filesystem Spark can write to.
+
+    A change of what is current is a new head file with the next number, which
+    only one writer can create; readers take the highest.
+    """
+
+    #: Head files that are kept.
+    HEADS = 20
+    TABLES = ("docs", "postings", "term_stats", "corpus_stats")
 
     def __init__(self, spark: SparkSession, path: str, fields: list[FieldSpec]):
-        self.spark, self.path, self.fields = spark, Path(path), fields
+        self.spark, self.path, self.fields, self.files = spark, path.rstrip("/"), fields, Files(spark)
+
+    def _heads(self) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n in self.files.names(f"{self.path}/heads") if n.endswith(".json") and n[0].isdigit())
 
     def _head(self) -> dict:
-        file = self.path / "head.json"
-        return json.loads(file.read_text()) if file.exists() else {"current": None, "versions": []}
+        known = self._heads()
+        return json.loads(self.files.read(f"{self.path}/heads/{known[-1]:012d}.json")) if known else {"number": 0, "current": None, "versions": [], "pinned": []}
 
     def _set(self, head: dict) -> None:
-        self.path.mkdir(parents=True, exist_ok=True)
-        file = self.path / f"head.{os.getpid()}.tmp"
-        file.write_text(json.dumps(head))
-        os.replace(file, self.path / "head.json")
+        """Publish a head; fails where another writer was faster."""
+        known = self._heads()
+        number = head["number"] + 1
+        self.files.create(f"{self.path}/heads/{number:012d}.json", json.dumps({**head, "number": number}))
+        for n in known[: -self.HEADS]:
+            self.files.delete(f"{self.path}/heads/{n:012d}.json")
 
     def prepare(self, index: Index) -> str:
         """Write a version without making it current."""
         name = f"v{time.time_ns()}"
-        write(index, str(self.path / name))
+        write(index, f"{self.path}/{name}")
         return name
 
-    def publish(self, name: str, keep: int | None = None) -> None:
-        """Make a prepared version current; keep the latest ``keep`` that no snapshot pins."""
+    def publish(self, name: str, keep: int | None = None, keep_seconds: float | None = None) -> None:
+        """Make a prepared version current.
+
+        Of the others the latest ``keep`` stay, or those younger than
+        ``keep_seconds``, or all; versions that a snapshot pins stay in any case.
+        """
         head = self._head()
-        head["versions"].append(name)
-        head["current"] = name
-        pinned = set(head.get("pinned", []))
-        drop = [] if keep is None else [v for v in head["versions"][:-keep] if v not in pinned]
-        head["versions"] = [v for v in head["versions"] if v not in drop]
-        self._set(head)
+        versions = [*head["versions"], name]
+        old: set[str] = set()
+        if keep is not None:
+            old |= set(versions[:-keep] if keep else versions[:-1])
+        if keep_seconds is not None:
+            old |= {v for v in versions[:-1] if time.time_ns() - int(v[1:]) > keep_seconds * 1e9}
+        drop = [v for v in versions if v in old and v not in head["pinned"]]
+        self._set({**head, "current": name, "versions": [v for v in versions if v not in drop]})
         for v in drop:
-            shutil.rmtree(self.path / v, ignore_errors=True)
+            self.files.delete(f"{self.path}/{v}")
 
     def rollback(self, name: str) -> None:
         """Throw a prepared version away."""
-        shutil.rmtree(self.path / name, ignore_errors=True)
+        if name in self.versions():
+            raise ValueError(f"{name} has been published")
+        self.files.delete(f"{self.path}/{name}")
 
     def commit(self, index: Index, keep: int | None = None) -> str:
         name = self.prepare(index)
@@ -146,56 +179,55 @@ class Store:
         name = version or self._head()["current"]
         if name is None:
             raise FileNotFoundError(f"no version in {self.path}")
-        return open_index(self.spark, str(self.path / name), self.fields)
+        return open_index(self.spark, f"{self.path}/{name}", self.fields)
 
     def versions(self) -> list[str]:
         return self._head()["versions"]
 
     def pin(self, name: str) -> None:
+        """Keep a version as a snapshot, whatever is published later."""
         head = self._head()
-        head["pinned"] = sorted({*head.get("pinned", []), name})
-        self._set(head)
+        self._set({**head, "pinned": sorted({*head["pinned"], name})})
 
     def unpin(self, name: str) -> None:
         head = self._head()
-        head["pinned"] = [v for v in head.get("pinned", []) if v != name]
-        self._set(head)
+        self._set({**head, "pinned": [v for v in head["pinned"] if v != name]})
+
+    def _sums(self, path: str) -> dict[str, list]:
+        """Rows and a checksum of each table, whatever the order of its rows."""
+        out = {}
+        for name in self.TABLES:
+            df = self.spark.read.parquet(f"{path}/{name}")
+            whole = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
+            out[name] = [str(x) for x in df.agg(F.count(F.lit(1)), F.coalesce(F.sum(whole), F.lit(0))).first()]
+        return out
+
+    def _copy(self, source: str, target: str) -> None:
+        for name in self.TABLES:
+            writer = self.spark.read.parquet(f"{source}/{name}").write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy("field") if name == "postings" else writer).parquet(f"{target}/{name}")
 
     def backup(self, target: str, version: str | None = None) -> dict:
-        """Copy a version with a manifest of sizes and checksums."""
+        """Copy a version with a manifest of row counts and checksums; executors do the copying."""
         name = version or self._head()["current"]
-        source, out = self.path / name, Path(target)
-        shutil.copytree(source, out / name)
-        files = {str(p.relative_to(out)): [p.stat().st_size, _digest(p)] for p in sorted((out / name).rglob("*")) if p.is_file()}
-        manifest = {"version": name, "files": files}
-        (out / "manifest.json").write_text(json.dumps(manifest))
+        self._copy(f"{self.path}/{name}", f"{target}/{name}")
+        manifest = {"version": name, "tables": self._sums(f"{self.path}/{name}")}
+        self.files.create(f"{target}/manifest.json", json.dumps(manifest), overwrite=True)
         return manifest
 
     def restore(self, source: str) -> str:
         """Check a backup against its manifest and make it current."""
-        manifest = json.loads((Path(source) / "manifest.json").read_text())
-        for name, (size, digest) in manifest["files"].items():
-            p = Path(source) / name
-            if not p.exists() or p.stat().st_size != size or _digest(p) != digest:
-                raise ValueError(f"backup is damaged: {name}")
+        manifest = json.loads(self.files.read(f"{source}/manifest.json"))
         name = manifest["version"]
-        if not (self.path / name).exists():
-            shutil.copytree(Path(source) / name, self.path / name)
+        if self._sums(f"{source}/{name}") != manifest["tables"]:
+            raise ValueError(f"backup is damaged: {source}")
+        if not self.files.exists(f"{self.path}/{name}"):
+            self._copy(f"{source}/{name}", f"{self.path}/{name}")
         head = self._head()
-        head["versions"] = [v for v in head["versions"] if v != name] + [name]
-        head["current"] = name
-        self._set(head)
+        self._set({**head, "current": name, "versions": [v for v in head["versions"] if v != name] + [name]})
         return name
 
     def sizes(self, version: str | None = None) -> dict[str, int]:
         """Bytes of each table of a version."""
-        root = self.path / (version or self._head()["current"])
-        return {t.name: sum(p.stat().st_size for p in t.rglob("*") if p.is_file()) for t in sorted(root.iterdir()) if t.is_dir()}
-
-
-def _digest(path: Path) -> str:
-    h = hashlib.sha256()
-    with path.open("rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+        root = f"{self.path}/{version or self._head()['current']}"
+        return {t: self.files.size(f"{root}/{t}") for t in self.files.names(root)}

@@ -31,7 +31,8 @@ class FieldSpec:
     analyser: Analyser = field(default_factory=standard)
     boost: float = 1.0
     required: bool = False
-    positions: bool = True
+    #: Keep where each term begins and ends in the text, for highlighting.
+    offsets: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -85,12 +84,7 @@ def spans_of(source: q.Source, places: dict[str, list[int]]) -> list[Span]:
                 runs = after
             return sorted(runs)
         case q.IUnordered(parts, most):
-            found = set()
-            for combo in itertools.product(*(spans_of(p, places) for p in parts)):
-                low, high = min(s for s, _ in combo), max(e for _, e in combo)
-                if most < 0 or high - low - sum(e - s for s, e in combo) <= most:
-                    found.add((low, high))
-            return sorted(found)
+            return _unordered([spans_of(p, places) for p in parts], most)
         case q.IContaining(big, small):
             inner = spans_of(small, places)
             return [b for b in spans_of(big, places) if any(b[0] <= s[0] and s[1] <= b[1] for s in inner)]
@@ -103,6 +97,34 @@ def spans_of(source: q.Source, places: dict[str, list[int]]) -> list[Span]:
     raise TypeError(f"not a source of intervals: {source}")
 
 
+def _unordered(options: list[list[Span]], most: int) -> list[Span]:
+    """The hulls of one interval of each part, with at most ``most`` places between them.
+
+    For every start the parts are folded one by one into the fewest gaps for
+    each end, so the work grows with the number of hulls, not of choices.
+    """
+    if not all(options):
+        return []
+    found: set[Span] = set()
+    for low in sorted({s for o in options for s, _ in o}):
+        # state: (hull's end, whether an interval starts at low) -> greatest length covered
+        state: dict[tuple[int, bool], int] = {(low, False): 0}
+        for o in options:
+            after: dict[tuple[int, bool], int] = {}
+            for (end, begun), covered in state.items():
+                for s, e in o:
+                    if s < low:
+                        continue
+                    key, total = (max(end, e), begun or s == low), covered + e - s
+                    if total > after.get(key, -1):
+                        after[key] = total
+            state = after
+        for (end, begun), covered in state.items():
+            if begun and (most < 0 or end - low - covered <= most):
+                found.add((low, end))
+    return sorted(found)
+
+
 def terms_of(source: q.Source) -> set[str]:
     match source:
         case q.ITerm(term):

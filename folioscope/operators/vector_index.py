@@ -37,14 +37,34 @@ def centre(vectors: DataFrame, column: str) -> DataFrame:
     return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
 
 
+@dataclass
+class Coded:
+    """Vectors with their 8-bit codes, made once; a search reads the codes, and whole vectors of a shortlist only."""
+
+    rows: DataFrame
+    column: str
+    low: float
+    step: float
+
+    def search(self, query: list[float], k: int, oversample: int = 4) -> DataFrame:
+        """Shortlist by the codes, ranked again by the exact cosine."""
+        target = F.array(*[F.lit(float(x)) for x in query])
+        back = v.from_int8(F.col("code"), F.lit(self.low), F.lit(self.step))
+        rough = self.rows.select("doc_id", v.cosine(back, target).alias("_s")).orderBy(F.col("_s").desc(), "doc_id").limit(k * oversample)
+        return exact(self.rows.join(F.broadcast(rough.select("doc_id")), "doc_id", "left_semi"), self.column, query, k)
+
+
+def coded(vectors: DataFrame, column: str) -> Coded:
+    """Code every vector, as a stage table; null vectors are left out."""
+    own = vectors.where(F.col(column).isNotNull()).select("doc_id", column)
+    ends = ranges(own, column).first()
+    low, step = (ends["low"], ends["step"]) if ends["low"] is not None else (0.0, 1.0)
+    return Coded(stage(own.withColumn("code", v.int8(F.col(column), F.lit(low), F.lit(step))), "codes"), column, low, step)
+
+
 def int8(vectors: DataFrame, column: str, query: list[float], k: int, oversample: int = 4) -> DataFrame:
-    """Shortlist by 8-bit vectors, ranked again by the exact cosine."""
-    target = F.array(*[F.lit(float(x)) for x in query])
-    coded = vectors.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ranges(vectors, column)))
-    coded = coded.withColumn("_q", v.int8(F.col(column), F.col("low"), F.col("step")))
-    rough = coded.withColumn("_s", v.cosine(v.from_int8(F.col("_q"), F.col("low"), F.col("step")), target))
-    short = rough.orderBy(F.col("_s").desc(), "doc_id").limit(k * oversample)
-    return exact(short, column, query, k)
+    """A single search by 8-bit codes; for several keep what :func:`coded` returns."""
+    return coded(vectors, column).search(query, k, oversample)
 
 
 #: Vectors and queries that meet in one task of :func:`signs`, about.
@@ -107,11 +127,16 @@ def _by_signs(docs: pd.DataFrame, asked: pd.DataFrame, mean: np.ndarray, k: int,
 
 @dataclass
 class Clusters:
-    """Vectors by their nearest centre."""
+    """Vectors by their nearest centre; clusters of more than ``GROUP`` vectors are in several parts."""
 
     assigned: DataFrame
     column: str
     centres: np.ndarray
+    parts: list[int]
+
+    def near(self, query: list[float], probes: int) -> list[int]:
+        """The clusters nearest to a vector."""
+        return np.argsort(-(self.centres @ _unit(np.array([query], float))[0]), kind="stable")[:probes].tolist()
 
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """``(query_id, doc_id, score)``: k neighbours of each ``(query_id, vector)``.
@@ -119,7 +144,7 @@ class Clusters:
         A query meets the vectors of its ``probes`` nearest clusters.  Pairs are
         scored in blocks inside a task; only k of a block go on.
         """
-        probed = queries.mapInArrow(_probes(self.centres, probes), "query_id bigint, vector array<double>, cluster int, salt int")
+        probed = queries.where("vector is not null").mapInArrow(_probes(self.centres, self.parts, probes), "query_id bigint, vector array<double>, cluster int, salt int")
         docs = self.assigned.select("cluster", "salt", F.col("doc_id"), F.col(self.column).cast("array<double>").alias("v"))
         met = docs.groupBy("cluster", "salt").cogroup(probed.groupBy("cluster", "salt")).applyInPandas(
             lambda d, p: _nearest(d, p, k), "query_id bigint, doc_id bigint, score double"
@@ -128,8 +153,10 @@ class Clusters:
         return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-#: A cluster is spread over this many salts, so no group holds more than a share of it.
-SALTS = 4
+#: Vectors of a cluster that one task takes, about; larger clusters are cut by the hash of the id.
+GROUP = 20_000
+#: Clusters at most, where their number follows the number of vectors.
+MOST_CLUSTERS = 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -137,14 +164,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _probes(centres: np.ndarray, probes: int):
+def _probes(centres: np.ndarray, parts: list[int], probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not ids:
                 continue
             near = np.argsort(-(_unit(np.array(vectors, float)) @ centres.T), axis=1)[:, :probes]
-            rows = [(i, x, int(c), s) for i, x, cs in zip(ids, vectors, near) for c in cs for s in range(SALTS)]
+            rows = [(i, x, int(c), s) for i, x, cs in zip(ids, vectors, near) for c in cs for s in range(parts[c])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32()))],
                 ["query_id", "vector", "cluster", "salt"],
@@ -167,11 +194,19 @@ def _nearest(docs: pd.DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
 
-def cluster(vectors: DataFrame, column: str, clusters: int = 64, rounds: int = 15, sample: int = SAMPLE) -> Clusters:
-    """Fit centres on a bounded sample (those with the smallest hash), then index every vector."""
+def cluster(vectors: DataFrame, column: str, clusters: int | None = None, rounds: int = 15, sample: int = SAMPLE) -> Clusters:
+    """Fit centres on a bounded sample (those with the smallest hash), then index every vector.
+
+    Without a number of clusters their number is the root of that of the
+    vectors, between 16 and ``MOST_CLUSTERS``.
+    """
     ship_package(vectors.sparkSession)
     own = vectors.where(F.col(column).isNotNull()).select("doc_id", column)
-    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    if clusters is None:
+        clusters = int(min(MOST_CLUSTERS, max(16, own.count() ** 0.5)))
+    # only ids and hashes are ranked; the vectors of the chosen follow
+    ids = own.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).select("doc_id")
+    picked = own.join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values("doc_id")
     x = _unit(np.stack(picked[column].to_numpy()).astype(float)) if len(picked) else np.zeros((1, 1))
     centres = x[np.linspace(0, len(x) - 1, min(clusters, len(x))).astype(int)]
     for _ in range(rounds):
@@ -181,6 +216,8 @@ def cluster(vectors: DataFrame, column: str, clusters: int = 64, rounds: int = 1
     def nearest(batch):
         return pd.Series((_unit(np.stack(batch.to_numpy()).astype(float)) @ centres.T).argmax(1).astype("int32"))
 
-    assigned = own.withColumn("cluster", F.pandas_udf(nearest, "int")(F.col(column).cast("array<double>")))
-    assigned = assigned.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return Clusters(stage(assigned, "clusters"), column, centres)
+    assigned = stage(own.withColumn("cluster", F.pandas_udf(nearest, "int")(F.col(column).cast("array<double>"))), "clusters")
+    sizes = {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cluster
+    parts = [max(1, -(-sizes.get(c, 0) // GROUP)) for c in range(len(centres))]
+    by = F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("cluster") + 1)
+    return Clusters(assigned.withColumn("salt", F.pmod(F.xxhash64("doc_id"), by).cast("int")), column, centres, parts)

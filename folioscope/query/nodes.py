@@ -302,12 +302,17 @@ class LikeQ(Query):
 
 @dataclass(frozen=True)
 class VectorQ(Query):
-    """The ``k`` nearest vectors by cosine, among those ``where`` matches."""
+    """The ``k`` nearest vectors by cosine, among those ``where`` matches.
+
+    With ``probes`` only that many clusters are looked at, where the searcher
+    has clusters of the column; without, the search is exact.
+    """
 
     column: str
     vector: tuple[float, ...]
     k: int = 10
     where: Query | None = None
+    probes: int = 0
 
 
 def and_(*queries: Query) -> Query:

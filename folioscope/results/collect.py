@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+
 _ZERO = {"string": "", "bigint": 0, "int": 0, "double": 0.0, "float": 0.0, "smallint": 0}
 
 
@@ -70,13 +72,60 @@ def stats(hits: DataFrame, docs: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(hits: DataFrame, docs: DataFrame, column: str, interval: float = 10.0) -> DataFrame:
-    """``(bucket, count)`` by the bucket's lower end, empty buckets between the ends too."""
+    """``(bucket, count)`` by the bucket's lower end, empty buckets between the ends too.
+
+    Each bucket that holds something spells out the empty ones up to the next,
+    so no row carries all of them.
+    """
     width = interval if interval > 0 else 10.0
     index = F.floor(F.col("v") / width)
     rows = _values(hits, docs, column).groupBy(index.alias("i")).agg(F.count(F.lit(1)).alias("count"))
-    ends = rows.agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a is not null")
-    every = ends.select(F.explode(F.sequence("a", "b")).alias("i"))
-    return every.join(rows, "i", "left").select((F.col("i") * width).alias("bucket"), F.coalesce("count", F.lit(0)).alias("count"))
+    after = F.coalesce(F.lead("i").over(Window.orderBy("i")), F.col("i") + 1)
+    # only buckets in use are ordered; what lies between two of them is a range
+    filled = rows.withColumn("_to", after).select("i", "count", F.explode(F.sequence(F.col("i"), F.col("_to") - 1)).alias("at"))
+    return filled.select((F.col("at") * width).alias("bucket"), F.when(F.col("at") == F.col("i"), F.col("count")).otherwise(0).alias("count"))
+
+
+def first_by(docs: DataFrame, key: str, n: int, hits: DataFrame | None = None, descending: bool = False) -> DataFrame:
+    """The first n documents (of the hits) by a column, missing values last, ties by id.
+
+    For a collection that is sorted by the column (``maintain.sorted_by``): the
+    n-th value is looked for in the column alone, then only rows up to it are
+    read, so Parquet skips every part that begins behind it.
+    """
+    order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
+    own = docs if hits is None else docs.join(hits.select("doc_id"), "doc_id", "left_semi")
+    best = own.where(F.col(key).isNotNull()).select(key).orderBy(order).limit(n)
+    edge = best.agg((F.min if descending else F.max)(key).alias("e"), F.count(F.lit(1)).alias("c")).first()
+    if edge["c"] == n:
+        docs = docs.where(F.col(key) >= F.lit(edge["e"]) if descending else F.col(key) <= F.lit(edge["e"]))
+        own = docs if hits is None else docs.join(hits.select("doc_id"), "doc_id", "left_semi")
+    return own.orderBy(order, "doc_id").limit(n)
+
+
+def together(hits: DataFrame, docs: DataFrame, n: int, facet: str | None = None, number: str | None = None) -> DataFrame:
+    """Best hits, facet counts and statistics of one search: ``(kind, name, doc_id, value)``.
+
+    ``kind`` is ``hit``, ``facet``, or ``count``, ``min``, ``max``, ``sum`` of
+    the numbers.  The search runs once, its hits are a stage table that all
+    parts read.
+    """
+    columns = [c for c in (facet, number) if c]
+    own = hits.select("doc_id", F.col("score").cast("double").alias("score"))
+    found = stage(fetch(own, docs, columns) if columns else own, "hits")
+    none = F.lit(None)
+
+    def part(rows: DataFrame, kind, name, doc, value) -> DataFrame:
+        return rows.select(kind.alias("kind"), name.cast("string").alias("name"), doc.cast("long").alias("doc_id"), value.cast("double").alias("value"))
+
+    out = part(top(found.select("doc_id", "score"), n), F.lit("hit"), none, F.col("doc_id"), F.col("score"))
+    if facet:
+        out = out.unionByName(part(facets(found, docs, facet), F.lit("facet"), F.col("value"), none, F.col("count")))
+    if number:
+        kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("v")) for k in ("count", "min", "max", "sum")])
+        told = stats(found, docs, number).select(F.inline(kinds))
+        out = out.unionByName(part(told, F.col("k"), none, none, F.col("v")))
+    return out
 
 
 def collapse(hits: DataFrame, docs: DataFrame, column: str, n: int, lowest: bool = False) -> DataFrame:

@@ -26,8 +26,9 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session that leaves the setting unset (tests, notebooks) gets a
-    folder of its own under the system's temporary directory.
+    Only a local session that leaves the setting unset (tests, notebooks) gets
+    a folder of its own under the system's temporary directory; on a cluster
+    that is an error, as other machines could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     own = Path(tempfile.gettempdir()) / f"folioscope-{spark.sparkContext.applicationId}"
     own.mkdir(parents=True, exist_ok=True)
     spark.sparkContext.setCheckpointDir(own.as_uri())
@@ -55,9 +58,7 @@ def drop_stages() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            Files(spark).delete(path)
         except Exception:
             pass
 
@@ -65,6 +66,51 @@ def drop_stages() -> None:
 atexit.register(drop_stages)
 
 
+class Files:
+    """Small files and folders on any filesystem Spark knows (HDFS, object stores, local disks)."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.conf), where
+
+    def exists(self, path: str) -> bool:
+        fs, where = self._at(path)
+        return fs.exists(where)
+
+    def names(self, path: str) -> list[str]:
+        """What is in a folder; nothing where there is none."""
+        fs, where = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def size(self, path: str) -> int:
+        fs, where = self._at(path)
+        return fs.getContentSummary(where).getLength()
+
+    def read(self, path: str) -> str:
+        fs, where = self._at(path)
+        stream = fs.open(where)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str, overwrite: bool = False) -> None:
+        """Write a file; without ``overwrite`` one that exists is an error (of the filesystem, so two writers cannot both win)."""
+        fs, where = self._at(path)
+        stream = fs.create(where, overwrite)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def delete(self, path: str) -> None:
+        fs, where = self._at(path)
+        fs.delete(where, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give Spark's Python workers this package, once per application.
 

@@ -2,32 +2,67 @@
 
 Every micro-batch writes the postings of its documents and partial statistics
 to folders of its own, named by the batch: a batch that is replayed after a
-failure writes the same folder again, so nothing counts twice.  Readers see
-whole batches; statistics are summed from the partial ones.
+failure writes the same folder again, so nothing counts twice.  A document that
+was in an earlier batch replaces it: the batch lists what it replaces and takes
+its terms off the statistics.  Readers see whole batches; statistics are summed
+from the partial ones.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..index.build import _POSTINGS, Index, postings_of, term_stats_of
+from ..index.build import _POSTINGS, ORDER, Index, indexed, postings_of, term_stats_of
 from ..index.schema import FieldSpec
+from ..runtime import Files, one_row_per_id
+
+_GONE = "doc_id bigint, of bigint"
+
+
+def _batches(spark: SparkSession, path: str) -> set[int]:
+    """Batches that are complete: the count of documents is written last."""
+    files = Files(spark)
+    return {int(n.partition("=")[2]) for n in files.names(f"{path}/doc_partial") if n.startswith("batch=") and files.exists(f"{path}/doc_partial/{n}/_SUCCESS")}
+
+
+def _read(spark: SparkSession, path: str, name: str, batches: set[int], schema: str | None = None) -> DataFrame:
+    """A table of some batches, with the number of each row's batch."""
+    reader = spark.read.schema(f"{schema}, batch bigint") if schema else spark.read
+    paths = [f"{path}/{name}/batch={b}" for b in sorted(batches)]
+    return reader.option("basePath", f"{path}/{name}").parquet(*paths).withColumn("batch", F.col("batch").cast("bigint"))
 
 
 def append_batch(batch: DataFrame, epoch: int, path: str, fields: list[FieldSpec]) -> None:
-    """Add one micro-batch; of documents repeated in it one counts."""
-    docs = batch.dropDuplicates(["doc_id"])
-    docs.write.mode("overwrite").parquet(f"{path}/docs/batch={epoch}")
-    own = batch.sparkSession.read.parquet(f"{path}/docs/batch={epoch}")
+    """Add one micro-batch; of a document repeated in it one row counts, the same in every run."""
+    spark = batch.sparkSession
+    one_row_per_id(batch, "doc_id").write.mode("overwrite").parquet(f"{path}/docs/batch={epoch}")
+    own = spark.read.parquet(f"{path}/docs/batch={epoch}")
     text = [f for f in fields if f.kind in ("text", "string")]
-    postings_of(own, text).write.mode("overwrite").parquet(f"{path}/postings/batch={epoch}")
-    postings = batch.sparkSession.read.schema(_POSTINGS).parquet(f"{path}/postings/batch={epoch}")
-    term_stats_of(postings).write.mode("overwrite").parquet(f"{path}/term_partial/batch={epoch}")
-    own.agg(F.count(F.lit(1)).alias("n_docs")).write.mode("overwrite").parquet(f"{path}/doc_partial/batch={epoch}")
+    postings_of(own, text).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{path}/postings/batch={epoch}")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/batch={epoch}")
+    stats, n = term_stats_of(postings), own.agg(F.count(F.lit(1)).alias("n_docs"))
+    before = {b for b in _batches(spark, path) if b < epoch}
+    gone = spark.createDataFrame([], _GONE)
+    if before:
+        had = _live(spark, path, before, _read(spark, path, "docs", before).select("doc_id", "batch"))
+        gone = had.join(own.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("batch").alias("of"))
+    gone.write.mode("overwrite").parquet(f"{path}/replaced/batch={epoch}")
+    gone = spark.read.schema(_GONE).parquet(f"{path}/replaced/batch={epoch}")
+    if before and gone.limit(1).count():
+        lost = _read(spark, path, "postings", before, _POSTINGS).join(gone.withColumnRenamed("of", "batch"), ["doc_id", "batch"], "left_semi")
+        off = term_stats_of(lost).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+        stats = stats.unionByName(off)
+        n = n.unionByName(gone.agg((-F.count(F.lit(1))).alias("n_docs")))
+    stats.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).write.mode("overwrite").parquet(f"{path}/term_partial/batch={epoch}")
+    n.agg(F.sum("n_docs").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/doc_partial/batch={epoch}")
+
+
+def _live(spark: SparkSession, path: str, batches: set[int], rows: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, batch, ...)`` that no later batch replaces."""
+    gone = _read(spark, path, "replaced", batches, _GONE).select("doc_id", F.col("of").alias("batch")).distinct()
+    return rows.join(gone, ["doc_id", "batch"], "left_anti")
 
 
 def follow(stream: DataFrame, path: str, fields: list[FieldSpec], every: str | None = None) -> StreamingQuery:
@@ -39,19 +74,24 @@ def follow(stream: DataFrame, path: str, fields: list[FieldSpec], every: str | N
 
 def refresh(spark: SparkSession, path: str, fields: list[FieldSpec]) -> Index:
     """The index as of the batches written so far."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("batch")
-    partial = read("term_partial")
-    stats = partial.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    n = read("doc_partial").agg(F.sum("n_docs").alias("n_docs"))
+    batches = _batches(spark, path)
+    if not batches:
+        raise FileNotFoundError(f"no batch in {path}")
+    partial = _read(spark, path, "term_partial", batches)
+    stats = partial.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+    n = _read(spark, path, "doc_partial", batches).agg(F.sum("n_docs").alias("n_docs"))
     sums = partial.groupBy("field").agg(F.sum("cf").alias("sum_dl"))
-    named = spark.createDataFrame([(f.name,) for f in fields if f.kind in ("text", "string")], "field string")
+    names = {f.name: f for f in fields}
+    named = spark.createDataFrame([(f,) for f in indexed(names)], "field string")
     avg = F.when(F.coalesce("sum_dl", F.lit(0)) > 0, F.col("sum_dl") / F.col("n_docs")).otherwise(1.0)
     corpus = named.join(F.broadcast(sums), "field", "left").crossJoin(F.broadcast(n)).select(
         "field", "n_docs", F.coalesce("sum_dl", F.lit(0)).alias("sum_dl"), avg.alias("avgdl")
     )
-    return Index(read("docs"), read("postings"), stats, corpus, {f.name: f for f in fields})
+    docs = _live(spark, path, batches, _read(spark, path, "docs", batches)).drop("batch")
+    postings = _live(spark, path, batches, _read(spark, path, "postings", batches, _POSTINGS)).drop("batch")
+    return Index(docs, postings, stats, corpus, names)
 
 
-def changed(path: str, seen: set[str]) -> bool:
+def changed(spark: SparkSession, path: str, seen: set[int]) -> bool:
     """Whether batches beyond ``seen`` are there (then refresh)."""
-    return {p.name for p in (Path(path) / "postings").glob("batch=*")} != seen
+    return _batches(spark, path) != seen
