@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import one_row_per_id, ship_package, spread
+from ..runtime import one_row_per_id, ship_package, spread, stage
 from .text import terms
 
 #: Distinct terms a task holds before it hands its partial sums on.
@@ -73,7 +73,7 @@ def text_term_counts(records: DataFrame, text: str) -> DataFrame:
 def posting_term_counts(
     postings: DataFrame, term: str = "term", doc: str = "doc_id", frequency: str = "frequency"
 ) -> tuple[DataFrame, DataFrame]:
-    """The same from postings, with the number of records as a second result.
+    """The same from postings: each posting once, as a stage table, and the counts.
 
     A posting counts when its frequency is above 0 and neither term nor record
     is null.  A term posted twice for one record (a segment flushed again)
@@ -84,7 +84,7 @@ def posting_term_counts(
     live = postings.select(
         F.col(doc).alias("doc_id"), F.col(term).alias("term"), F.col(frequency).cast("long").alias("tf")
     ).where("tf > 0 and term is not null and doc_id is not null")
-    once = live.groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
+    once = stage(live.groupBy("doc_id", "term").agg(F.max("tf").alias("tf")), "once")
     return once, once.groupBy("term").agg(
         F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("records")
     )

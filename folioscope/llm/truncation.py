@@ -13,6 +13,14 @@ combined, as log-odds, with evidence from the ending:
 * open brackets or code blocks, a last line shorter than a list's other lines;
 * a stated length above the real one.
 
+How much each of these says is learnt from the collection itself, by
+expectation and maximisation over two classes of texts, cut and whole: a text
+at a limit belongs to the cut ones with the limit's censoring posterior, as far
+as the endings of all texts of that length bear it out; any other with the rate
+of cuts away from limits; and both by the evidence of its ending.  The
+odds in ``KIND_ODDS`` and ``SIGN_ODDS`` are where this starts; they weigh as
+much as ``PRIOR_TEXTS`` texts.
+
 Closing lines, words and lengths are counted over distinct texts: copies of one
 text under other ids (blanks set aside) are one piece of evidence, not many.
 
@@ -27,7 +35,8 @@ import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,12 +47,18 @@ from pyspark.sql import functions as F
 from ..runtime import one_row_per_id, ship_package, spread, stage
 from .text import terms
 
-#: Share of cut texts assumed before any evidence.
+#: Share of cut texts away from limits that is assumed at first.
 PRIOR = 0.08
+#: Texts that the odds at the start weigh as much as.
+PRIOR_TEXTS = 100.0
+#: Rounds of expectation and maximisation, or of a censored fit, at most; both settle long before.
+ROUNDS = 20_000
 #: A closing line is common from this share of all distinct texts on; so there are at most 1 / COMMON_LINE.
 COMMON_LINE = 4e-4
 #: A length is a candidate limit from this excess over its neighbourhood on.
 EXCESS = 6.0
+#: Bound of the probability that any length of a source becomes a candidate by chance.
+BY_CHANCE = 0.01
 
 MEASURES = ("chars", "bytes", "repaired", "bare_chars", "bare_bytes")
 
@@ -99,8 +114,7 @@ def ending(text: str) -> dict:
     kind = _kind(body, lines) if body else "blank"
     found = terms(lines[-1])
     word = found[-1] if found and body[-1].isalnum() else ""
-    tail = body[-240:]
-    open_ = tail.count("[[") > tail.count("]]") or tail.rfind("(") > tail.rfind(")")
+    open_ = body.count("[[") > body.count("]]") or body.rfind("(") > body.rfind(")")
     short = False
     if kind == "list":
         sizes = [len(x.split()) for x in lines[:-1] if x.strip()]
@@ -112,7 +126,7 @@ def ending(text: str) -> dict:
         "bare_chars": len(bare) if bare != body else -1,
         "bare_bytes": len(bare.encode("utf-8", "surrogatepass")) if bare != body else -1,
         "kind": kind,
-        "last": re.sub(r"(?<=:)[A-Z]\w*(?=\]\])", "*", last)[:120],
+        "last": re.sub(r"(?<=:)[A-Z]\w*(?=\]\])", "*", last),
         "word": word,
         "open": open_,
         "short": short,
@@ -169,37 +183,46 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return 0.5 * np.vectorize(math.erfc)(np.asarray(z, float) / math.sqrt(2))
 
 
-def fit_censored(values: np.ndarray, counts: np.ndarray, limits: np.ndarray, cut: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Lognormal by maximum likelihood: ``values`` seen ``counts`` times, ``cut`` more censored at ``limits``.
+def fit_censored(values: np.ndarray, counts: np.ndarray, limits: np.ndarray, cut: np.ndarray) -> tuple[float, float]:
+    """Lognormal by maximum likelihood: ``values`` seen ``counts`` times, ``cut`` more censored at ``limits``."""
+    return censored_fit(values, counts, limits, cut)[:2]
+
 
-    EM: censored logs are replaced by their expectation beyond the limit.
+def censored_fit(values: np.ndarray, counts: np.ndarray, limits: np.ndarray, cut: np.ndarray, rounds: int = ROUNDS) -> tuple[float, float, bool]:
+    """The same, and whether the fit settled.
+
+    Censored logs are replaced by their expectation beyond the limit, in turns
+    with the fit, until neither parameter changes.
     """
     x, w = np.log(values), counts.astype(float)
     mu = float((x * w).sum() / w.sum())
     sigma = math.sqrt(max(float((w * (x - mu) ** 2).sum() / w.sum()), 1e-4))
     if not len(limits) or not cut.sum():
-        return mu, sigma
+        return mu, sigma, True
     c = np.log(limits)
+    sums, squares, total = float((x * w).sum()), float((x * x * w).sum()), float(w.sum() + cut.sum())
     for _ in range(rounds):
         z = (c - mu) / sigma
         hazard = _phi(z) / np.maximum(_tail(z), 1e-12)
         e1 = mu + sigma * hazard
         e2 = mu * mu + sigma * sigma + sigma * hazard * (c + mu)
-        total = w.sum() + cut.sum()
-        new = float(((x * w).sum() + (e1 * cut).sum()) / total)
-        var = float(((x * x * w).sum() + (e2 * cut).sum()) / total) - new * new
-        if abs(new - mu) < 1e-7:
-            break
-        mu, sigma = new, math.sqrt(max(var, 1e-4))
-    return mu, sigma
+        new = (sums + float((e1 * cut).sum())) / total
+        wide = math.sqrt(max((squares + float((e2 * cut).sum())) / total - new * new, 1e-4))
+        settled = abs(new - mu) < 1e-7 and abs(wide - sigma) < 1e-7
+        mu, sigma = new, wide
+        if settled:
+            return mu, sigma, True
+    return mu, sigma, False
 
 
-def source_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-    """Limits of one source: ``(limit, count, expected, mu, sigma)``.
+def source_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, float, float, bool]]:
+    """Limits of one source: ``(limit, count, expected, mu, sigma, settled)``.
 
     A candidate has at least 4 texts, 4 in 1000 of the source's, and ``EXCESS``
-    times what its neighbourhood (a tenth to either side) has on average; the
-    fit then says how many texts should have just that length.
+    times what its neighbourhood (a tenth to either side) has on average, and
+    would hardly occur by chance (Chernoff's bound of a Poisson count, times the
+    number of lengths); the fit then says how many texts should have just that
+    length.
     """
     order = np.argsort(lengths)
     v, n = lengths[order], counts[order].astype(float)
@@ -211,18 +234,22 @@ def source_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, in
     lo, hi = np.searchsorted(v, v * 0.9, "left"), np.searchsorted(v, v * 1.1, "right")
     width = np.maximum(v * 0.2, 1)
     around = (run[hi] - run[lo] - n) / width
-    cand = (n >= max(4, 0.004 * n.sum())) & (n >= EXCESS * np.maximum(around, 0.15))
+    usual = np.maximum(around, 0.15)
+    cand = (n >= max(4, 0.004 * n.sum())) & (n >= EXCESS * usual)
+    # so many texts of one length must be unlikely by chance, for all lengths taken together
+    chance = n * (1 + np.log(usual / n)) - usual + math.log(len(v))
+    cand &= chance < math.log(BY_CHANCE)
     if not cand.any():
         return []
     excess = np.maximum(n - around, 0) * cand
-    mu, sigma = fit_censored(v, np.maximum(n - excess, 1e-9), v[cand], excess[cand])
+    mu, sigma, settled = censored_fit(v, np.maximum(n - excess, 1e-9), v[cand], excess[cand])
     z = (np.log(v[cand]) - mu) / sigma
     expected = np.maximum(n.sum() * _phi(z) / (sigma * v[cand]), 0.05)
-    return [(int(a), int(b), float(max(e, r)), mu, sigma) for a, b, e, r in zip(v[cand], n[cand], expected, around[cand])]
+    return [(int(a), int(b), float(max(e, r)), mu, sigma, settled) for a, b, e, r in zip(v[cand], n[cand], expected, around[cand])]
 
 
 def limits_of(ends: DataFrame) -> DataFrame:
-    """``(source, measure, limit, texts, expected, posterior, mu, sigma)`` for every source.
+    """``(source, measure, limit, texts, expected, posterior, mu, sigma, settled)`` for every source.
 
     Works on the histogram of lengths, one row per source, measure and length;
     a source's copies of a text count once.
@@ -235,68 +262,159 @@ def limits_of(ends: DataFrame) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [
-            (pdf["source"].iloc[0], pdf["measure"].iloc[0], a, b, e, 1 - min(e / b, 1.0), mu, s)
-            for a, b, e, mu, s in source_limits(pdf["length"].to_numpy(), pdf["n"].to_numpy())
+            (pdf["source"].iloc[0], pdf["measure"].iloc[0], a, b, e, 1 - min(e / b, 1.0), mu, s, done)
+            for a, b, e, mu, s, done in source_limits(pdf["length"].to_numpy(), pdf["n"].to_numpy())
         ]
-        return pd.DataFrame(rows, columns=["source", "measure", "limit", "texts", "expected", "posterior", "mu", "sigma"])
+        return pd.DataFrame(rows, columns=["source", "measure", "limit", "texts", "expected", "posterior", "mu", "sigma", "settled"])
 
     return hist.groupBy("source", "measure").applyInPandas(
-        fit, "source string, measure string, limit bigint, texts bigint, expected double, posterior double, mu double, sigma double"
+        fit, "source string, measure string, limit bigint, texts bigint, expected double, posterior double, mu double, sigma double, settled boolean"
     )
 
 
-#: Log-odds of a cut given how the text ends, before its last word is looked at.
+#: Log-odds of a cut by how the text ends, from which the fit starts.
 KIND_ODDS = {
     "stop": -4.3, "closed": -4.5, "code": -4.0, "open-code": 5.0, "ellipsis": 1.5, "item": 0.0, "list": -0.5,
     "headline": -2.0, "signature": -1.5, "line": -0.5, "word": 4.0, "other": 2.5, "blank": -3.0,
 }
+#: The same for what else an ending shows, and for a stated length above the real one.
+SIGN_ODDS = {"common": -5.0, "prefix": 3.0, "open": 3.0, "short": 4.0, "stated": 1.5, "new": 3.5}
+#: Endings that are whole by their form, whatever their last word.
+CLOSED = {"stop", "closed", "code"}
 #: Endings whose last word need not be one that ends sentences.
 FREE_WORDS = {"headline", "signature"}
+#: The last word's log-odds are told in whole numbers up to this.
+WORD_STEPS = 4
 
 
-def _judge(common: list[str], total: int, total_final: int):
-    """Log-odds that a text was cut, from its ending."""
+def _signs(common: list[str], total: int, total_final: int):
+    """What an ending shows, as two names: its form with its marks, and what its last word says."""
     known = set(common)
 
-    def run(kind, last, word, open_, short, n, n_final, limit, stated, length):  # columns of a batch
+    def run(kind, last, word, open_, short, n, n_final):  # columns of a batch
         out = []
-        for k, ln, w, o, s, a, b, post, st, le in zip(kind, last, word, open_, short, n, n_final, limit, stated, length):
-            odds = math.log(PRIOR / (1 - PRIOR)) + KIND_ODDS[k]
-            prefix = False
-            if ln:
-                i = bisect.bisect_left(common, ln)
-                prefix = ln not in known and len(ln) > 2 and i < len(common) and common[i].startswith(ln)
-            if ln in known and k not in ("open-code", "ellipsis"):
-                odds = math.log(PRIOR / (1 - PRIOR)) - 5.0
+        for k, ln, w, o, s, a, b in zip(kind, last, word, open_, short, n, n_final):
+            marks = ""
+            if ln and ln in known and k not in ("open-code", "ellipsis"):
+                marks = "common"
             else:
-                if prefix and k not in ("stop", "closed", "code"):
-                    odds += 3.0
-                if w and k not in ("stop", "closed", "code", "ellipsis"):
-                    a = max((0 if a is None or a != a else a) - 1, 0)
-                    b = 0 if b is None or b != b else b
-                    if a == 0:
-                        odds += 3.5
-                    elif k not in FREE_WORDS:
-                        told = math.log(0.25 * (a + 0.5) / (total + 1)) - math.log((b + 0.05) / (total_final + 1))
-                        odds += max(-1.0 if k == "word" else -4.0, min(4.0, told))
+                i = bisect.bisect_left(common, ln) if ln else 0
+                if ln and len(ln) > 2 and k not in CLOSED and i < len(common) and common[i] != ln and common[i].startswith(ln):
+                    marks += " prefix"
                 if o and k != "stop":
-                    odds += 3.0
+                    marks += " open"
                 if s:
-                    odds += 4.0
-            if post and post > 0:
-                odds += min(6.0, -math.log(max(1 - post, 1e-3)))
-            if st is not None and st == st and st > le * 1.02 + 2:
-                odds += 1.5
-            out.append(odds)
-        return pd.Series(out, dtype=float)
+                    marks += " short"
+            told = "none"
+            if w and k not in CLOSED and k != "ellipsis" and marks != "common":
+                a = max((0 if a is None or a != a else a) - 1, 0)
+                b = 0 if b is None or b != b else b
+                if a == 0:
+                    told = "new"
+                elif k not in FREE_WORDS:
+                    odds = math.log(0.25 * (a + 0.5) / (total + 1)) - math.log((b + 0.05) / (total_final + 1))
+                    told = str(round(max(-WORD_STEPS, min(WORD_STEPS, odds))))
+            out.append((k, marks.strip(), told))
+        return pd.DataFrame(out, columns=["kind", "marks", "told"]).astype(object)
 
     return run
 
 
+_SIGNS = "struct<kind string, marks string, told string>"
+
+
+def _start_odds(kind: str, marks: str, told: str) -> float:
+    """The log-odds of an ending before anything is learnt."""
+    if marks == "common":
+        return SIGN_ODDS["common"]
+    odds = KIND_ODDS[kind] + sum(SIGN_ODDS[m] for m in marks.split())
+    if told == "new":
+        return odds + SIGN_ODDS["new"]
+    return odds + (0.0 if told == "none" else max(-1.0, float(told)) if kind == "word" else float(told))
+
+
+def _at_start(odds, stated, s):
+    """Probability of a cut by the odds at the start."""
+    start = [_start_odds(k, m, t) for k, m, t in zip(s["kind"], s["marks"], s["told"])]
+    return pd.Series(_sigmoid(odds.to_numpy(float) + np.array(start, float) + SIGN_ODDS["stated"] * (stated == "more").to_numpy(float)))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+@dataclass
+class Evidence:
+    """Learnt log-odds: of forms of endings, of last words by kind, of stated lengths; and of a cut away from limits."""
+
+    forms: dict[tuple[str, str], float]
+    words: dict[tuple[str, str], float]
+    stated: dict[str, float]
+    rate: float
+    settled: bool
+
+
+def learn(rows: list, rounds: int = ROUNDS) -> Evidence:
+    """Fit the two classes to counts of endings.
+
+    ``rows`` hold ``kind, marks, told, stated, odds, n``: how many texts end so,
+    with the log-odds of their limit's posterior (null away from limits).
+    """
+    if not rows:
+        return Evidence({}, {}, {}, math.log(PRIOR / (1 - PRIOR)), True)
+    n = np.array([r["n"] for r in rows], float)
+    at = np.array([r["odds"] is not None for r in rows])
+    base = np.array([r["odds"] if r["odds"] is not None else 0.0 for r in rows], float)
+    names = [[(r["kind"], r["marks"]) for r in rows], [(r["kind"], r["told"]) for r in rows], [r["stated"] for r in rows]]
+    codes, keys = [], []
+    for column in names:
+        known = sorted(set(column))
+        index = {k: i for i, k in enumerate(known)}
+        codes.append(np.array([index[k] for k in column]))
+        keys.append(known)
+    start = np.array([_start_odds(r["kind"], r["marks"], r["told"]) + (SIGN_ODDS["stated"] if r["stated"] == "more" else 0.0) for r in rows])
+    cut = _sigmoid(np.where(at, base, math.log(PRIOR / (1 - PRIOR))) + start)
+    # the last word is judged among endings of its kind
+    kind = np.array([{k: i for i, k in enumerate(sorted({r["kind"] for r in rows}))}[r["kind"]] for r in rows])
+
+    def counts(weight: np.ndarray) -> tuple[list[np.ndarray], list]:
+        """Sums by name, and what each is a share of: all texts, or for words those of their kind."""
+        out = [np.bincount(c, weight, len(k)) for c, k in zip(codes, keys)]
+        own = np.zeros(len(keys[1]))
+        own[codes[1]] = np.bincount(kind, weight)[kind]
+        return out, [out[0].sum(), own, out[2].sum()]
+
+    # a class without texts of its own has the shares of all texts, times the odds at the start where it is the cut one
+    usual = [o / w for o, w in zip(*counts(n))]
+    odds = [
+        np.array([_start_odds(k, m, "none") for k, m in keys[0]]),
+        np.array([_start_odds(k, "", t) - KIND_ODDS[k] for k, t in keys[1]]),
+        np.array([SIGN_ODDS["stated"] if k == "more" else 0.0 for k in keys[2]]),
+    ]
+    prior = [np.minimum(u * np.exp(o), 1.0) for u, o in zip(usual, odds)]
+
+    def smoothed(weight: np.ndarray, first: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.log((o + PRIOR_TEXTS * f) / (w + PRIOR_TEXTS)) for o, w, f in zip(*counts(weight), first)]
+
+    rate, settled = math.log(PRIOR / (1 - PRIOR)), False
+    for _ in range(rounds):
+        told = [a - b for a, b in zip(smoothed(cut * n, prior), smoothed((1 - cut) * n, usual))]
+        away = float((cut * n)[~at].sum() + PRIOR * PRIOR_TEXTS) / float(n[~at].sum() + PRIOR_TEXTS)
+        rate = math.log(away / (1 - away))
+        new = _sigmoid(np.where(at, base, rate) + sum(x[c] for x, c in zip(told, codes)))
+        change = float((np.abs(new - cut) * n).sum() / n.sum())
+        cut = new
+        if change < 1e-8:
+            settled = True
+            break
+    return Evidence(*[dict(zip(k, map(float, t))) for k, t in zip(keys, told)], rate, settled)
+
+
 def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Judge ``(doc_id, text, source, n_chars)``.
 
-    Returns ``judged (doc_id, source, kind, measure, limit, log_odds, cut)`` for
+    Endings are counted by their signs (at most a few thousand kinds exist)
+    to learn what each says; then every text is judged.  Returns ``judged (doc_id, source, kind, measure, limit, log_odds, cut)`` for
     every record with a text that is not empty, and the limits found (see
     :func:`limits_of`).  Null sources form a group of their own, reported as
     null; ``n_chars`` may be null.  Null and empty texts are not judged.
@@ -318,8 +436,10 @@ def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_final"), F.lit(0)).alias("f")).first()
     texts = ends.select("hash").distinct().count()
     least = max(4, math.ceil(COMMON_LINE * texts))
-    lines = ends.where("length(last) > 2").select("last", "hash").distinct().groupBy("last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = sorted(r["last"] for r in lines.collect())  # at most 1 / COMMON_LINE lines
+    # lines are counted by their hash; at most 1 / COMMON_LINE of them are common
+    closing = ends.where("length(last) > 2").withColumn("_l", F.xxhash64("last"))
+    shared = closing.select("_l", "hash").distinct().groupBy("_l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("_l")
+    common = sorted(r["last"] for r in closing.join(F.broadcast(shared), "_l", "left_semi").groupBy("_l").agg(F.min("last").alias("last")).collect())
     limits = stage(limits_of(ends), "limits")
 
     at = ends.select("doc_id", F.coalesce("source", F.lit("")).alias("_s"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("limit")) for m in MEASURES])).alias("m")).select("doc_id", "_s", "m.*")
@@ -330,13 +450,47 @@ def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # only the last words of texts that end in a word are looked up
     last = ends.where("word <> ''").select("doc_id", "word").join(words, "word").select("doc_id", "n", "n_final")
     seen = ends.join(hit, "doc_id", "left").join(last, "doc_id", "left")
-    judge = F.pandas_udf(_judge(common, size["n"], size["f"]), "double")
-    judged = seen.withColumn(
-        "log_odds",
-        judge("kind", "last", "word", "open", "short", "n", "n_final", F.coalesce("h.posterior", F.lit(0.0)), F.col("stated").cast("double"), F.col("repaired").cast("double")),
+    signs = F.pandas_udf(_signs(common, size["n"], size["f"]), _SIGNS)
+    stated = F.when(F.col("stated").isNull(), "none").when(F.col("stated") > F.col("repaired") * 1.02 + 2, "more").otherwise("fits")
+    post = F.when(F.col("h.posterior").isNotNull(), F.least(F.greatest(F.col("h.posterior"), F.lit(1e-3)), F.lit(1 - 1e-3)))
+    marked = stage(
+        seen.select(
+            "doc_id", "source", "hash", F.col("h.measure").alias("measure"), F.col("h.limit").alias("limit"), F.log(post / (1 - post)).alias("posterior_odds"),
+            stated.alias("stated"), signs("kind", "last", "word", "open", "short", "n", "n_final").alias("s"),
+        ),
+        "signs",
+    )
+    # a limit is as likely as the endings of the texts of its length make it: whole texts may have a usual length
+    bound = marked.where("limit is not null").withColumn("_r", F.pandas_udf(_at_start, "double")("posterior_odds", "stated", "s"))
+    of = [F.coalesce("source", F.lit("")).alias("_s"), F.col("measure").alias("_m"), F.col("limit").alias("_l")]
+    told = bound.groupBy(*of, "hash").agg(F.max("_r").alias("r")).groupBy("_s", "_m", "_l").agg(F.avg("r").alias("r"))
+    r = F.least(F.greatest(F.col("r"), F.lit(1e-3)), F.lit(1 - 1e-3))
+    at_limit = bound.join(told, (F.coalesce("source", F.lit("")) == F.col("_s")) & (F.col("measure") == F.col("_m")) & (F.col("limit") == F.col("_l")))
+    own_columns = ["doc_id", "source", "hash", "measure", "limit", "stated", "s"]
+    marked = marked.where("limit is null").select(*own_columns, F.lit(None).cast("double").alias("odds")).unionByName(
+        at_limit.select(*own_columns, F.log(r / (1 - r)).alias("odds"))
     )
+    # copies of a text teach once; limits are told in steps of a quarter
+    once = marked.groupBy("hash").agg(F.min(F.struct("doc_id", "s", "stated", F.round(F.col("odds") * 4).alias("q"))).alias("r")).select("r.*")
+    counted = once.groupBy("s", "stated", "q").agg(F.count(F.lit(1)).alias("n")).collect()
+    learnt = learn([{**r["s"].asDict(), "stated": r["stated"], "odds": None if r["q"] is None else r["q"] / 4, "n": r["n"]} for r in counted])
+    if not learnt.settled:
+        raise RuntimeError("the evidence of endings has not settled")
+
+    def judge(odds, how, s):
+        out = []
+        for o, st, k, m, t in zip(odds, how, s["kind"], s["marks"], s["told"]):
+            base = learnt.rate if o is None or o != o else o
+            # a copy may end in a way that the one text counted for all does not
+            form = learnt.forms.get((k, m))
+            form = _start_odds(k, m, "none") if form is None else form
+            out.append(base + form + learnt.words.get((k, t), 0.0) + learnt.stated.get(st, 0.0))
+        return pd.Series(out, dtype=float)
+
+    judge.__annotations__ = {}
+    judged = marked.withColumn("log_odds", F.pandas_udf(judge, "double")("odds", "stated", "s"))
     return (
-        judged.select("doc_id", "source", "kind", F.col("h.measure").alias("measure"), F.col("h.limit").alias("limit"), "log_odds", (F.col("log_odds") > 0).alias("cut")),
+        judged.select("doc_id", "source", F.col("s.kind").alias("kind"), "measure", "limit", "log_odds", (F.col("log_odds") > 0).alias("cut")),
         limits,
     )
 

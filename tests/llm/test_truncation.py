@@ -24,8 +24,8 @@ def test_limits():
     rng = np.random.default_rng(3)
     x = np.minimum(rng.lognormal(6.0, 0.5, 5000).astype(int), 700)
     v, n = np.unique(x, return_counts=True)
-    (limit, count, expected, _, _), = tr.source_limits(v, n)
-    assert limit == 700 and count > 300 and expected < 10
+    (limit, count, expected, _, _, settled), = tr.source_limits(v, n)
+    assert settled and limit == 700 and count > 300 and expected < 10
     assert tr.source_limits(np.array([], int), np.array([], int)) == []
 
 
@@ -83,3 +83,19 @@ def test_endings():
 def test_nothing(spark):
     judged, limits = tr.detect(spark.createDataFrame([], "doc_id long, text string, source string, n_chars long"))
     assert judged.count() == 0 and limits.count() == 0
+
+
+def test_whole_ends_of_texts_are_read():
+    """A long closing line cut inside is not the line; an open bracket counts wherever it stands."""
+    line = "This text may be copied by all who name its source, " * 4 + "without any fee."
+    assert tr.ending("x\n" + line)["last"] != tr.ending("x\n" + line[:180])["last"]
+    assert tr.ending("see (the " + "word " * 200 + "end")["open"]
+
+
+def test_learning_lowers_odds():
+    """Endings that are as usual among texts at limits as elsewhere say nothing; the rate away from limits is learnt."""
+    row = lambda kind, odds, n: dict(kind=kind, marks="", told="none", stated="fits", odds=odds, n=n)
+    learnt = tr.learn([row("word", 6.0, 500), row("stop", 6.0, 10), row("stop", None, 9000), row("list", None, 500), row("word", None, 20)])
+    assert learnt.settled and learnt.rate < -4.5
+    assert learnt.forms[("word", "")] > 4 and learnt.forms[("list", "")] < -1 and learnt.forms[("stop", "")] < -3
+    assert tr.learn([]).settled
