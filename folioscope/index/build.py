@@ -139,8 +139,14 @@ class Index:
         """The same, with its derived tables written out once; postings do not move."""
         postings = stage(self.postings.sortWithinPartitions(*ORDER), "postings")
         stats = stage(term_stats_of(postings), "term-stats")
-        corpus = stage(corpus_stats_of(live(self.docs), stats, indexed(self.fields)), "corpus-stats")
-        return Index(self.docs, postings, stats, corpus, self.fields)
+        # one row for each field
+        sums = {r["field"]: r["s"] for r in stats.groupBy("field").agg(F.sum("cf").alias("s")).collect()}
+        n = live(self.docs).count()
+        rows = [(f, n, sums.get(f, 0), sums[f] / n if sums.get(f) and n else 1.0) for f in indexed(self.fields)]
+        corpus = self.spark.createDataFrame(rows, "field string, n_docs bigint, sum_dl bigint, avgdl double")
+        made = Index(self.docs, postings, stats, corpus, self.fields)
+        made.corpus = {f: (n, s, a) for f, n, s, a in rows}
+        return made
 
     def cached(self) -> Index:
         """The same, kept in the executors' memory (or on their disks) once read."""

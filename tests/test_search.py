@@ -79,6 +79,20 @@ def test_terms_at_once_equal_clauses_apart(index):
     assert scores(s.hits(fast)) == pytest.approx(scores(s.hits(slow)))
 
 
+@pytest.mark.parametrize("model", ["bm25", "lm_dirichlet"])
+def test_many_queries_equal_single_ones(index, spark, model):
+    """With scores that allow pruning, and with negative ones that do not."""
+    s = Searcher(index, similarity.SIMILARITIES[model]())
+    bags = {1: ["fox"], 2: ["fox", "brown", "dog"], 3: ["zebra", "lazy"], 4: ["brown", "quick"]}
+    asked = spark.createDataFrame([(i, t) for i, ts in bags.items() for t in ts] + [(None, "fox"), (5, None)], "query_id long, term string")
+    for n in (1, 2, 10):
+        got = {(r["query_id"], r["doc_id"]): r["score"] for r in s.search_many(asked, "body", n).collect()}
+        want = {}
+        for i, ts in bags.items():
+            want |= {(i, r["doc_id"]): r["score"] for r in s.search(q.or_(*map(T, ts)), n).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_dis_max_and_fusion(index):
     s = Searcher(index)
     a, b = scores(s.hits(T("fox"))), scores(s.hits(T("brown")))
