@@ -108,8 +108,8 @@ def line_features(lines: list[str]) -> list[tuple[tuple, tuple]]:
     last = max((block[i] for i in solid if i < ahead), default=0)
     legals = {
         k: sum(len(_LEGAL.findall(lines[j])) for j in spans[k])
-        for k in range(max(0, last - 2), len(spans))
-        if spans[k][0] < ahead and len(spans[k]) <= 12
+        for k in range(len(spans))
+        if spans[k][0] < ahead
     }
     end = last
     while end > 0 and legals.get(end, 0) >= 2 and len(spans[end]) <= 5:
@@ -168,7 +168,7 @@ def line_features(lines: list[str]) -> list[tuple[tuple, tuple]]:
         if last_blocks <= 1 and kind in ("none", "mark"):
             short = max(len(lines[j].strip()) for j in own) < 60
             if last_blocks == 0 or legal:
-                words = tuple(w.lower() for w in _WORD.findall(text)[:8])
+                words = tuple(w.lower() for w in _WORD.findall(text))
         out.append((
             (
                 "line", kind, pk, near_p, qk, near_q, intro, introq, forward, forwarded,
