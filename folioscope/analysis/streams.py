@@ -236,6 +236,20 @@ def synonyms(table: Mapping[str, Iterable[str]]) -> Filter:
     return run
 
 
+def cached(source: Source, most: int = 1000) -> Source:
+    """Remember the tokens of the last texts; for collections that repeat them, such as tags and titles."""
+    known: dict[str, Stream] = {}
+
+    def run(text: str) -> Stream:
+        found = known.pop(text, None)
+        known[text] = found = source(text) if found is None else found
+        if len(known) > most:
+            known.pop(next(iter(known)))
+        return list(found)
+
+    return run
+
+
 def limit(most: int, reject: bool = False) -> Filter:
     """At most so many tokens: the rest is cut off, or is an error."""
 

@@ -13,7 +13,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .build import ORDER, Index, build, corpus_stats_of, indexed, live, open_index, term_stats_of, write
+from .build import _POSTINGS, ORDER, Index, build, corpus_stats_of, indexed, live, open_index, term_stats_of, write
 from ..runtime import Files
 from .schema import FieldSpec
 
@@ -184,6 +184,35 @@ class Store:
     def versions(self) -> list[str]:
         return self._head()["versions"]
 
+    def prune(self, keep: int) -> list[str]:
+        """Delete all but the latest ``keep`` versions and those that are pinned; what was deleted."""
+        head = self._head()
+        stay = {*head["versions"][-keep:], *head["pinned"], head["current"]}
+        drop = [v for v in head["versions"] if v not in stay]
+        self._set({**head, "versions": [v for v in head["versions"] if v in stay]})
+        for v in drop:
+            self.files.delete(f"{self.path}/{v}")
+        return drop
+
+    def formats(self) -> dict[str, str]:
+        """What can be done with each version: ``current``, ``old`` (readable, can be migrated) or ``broken``."""
+        out = {}
+        for name in self.versions():
+            if any(not self.files.exists(f"{self.path}/{name}/{t}") for t in self.TABLES):
+                out[name] = "broken"
+                continue
+            have = set(self.spark.read.parquet(f"{self.path}/{name}/postings").columns)
+            need = {x.split()[0] for x in _POSTINGS.split(", ")}
+            out[name] = "current" if need <= have else "old" if {"field", "term", "doc_id", "tf", "dl"} <= have else "broken"
+        return out
+
+    def migrate(self, version: str | None = None) -> str | None:
+        """Write an old version anew in the current format and publish it; None where there is nothing to do."""
+        name = version or self._head()["current"]
+        if self.formats().get(name) != "old":
+            return None
+        return self.commit(self.open(name))
+
     def pin(self, name: str) -> None:
         """Keep a version as a snapshot, whatever is published later."""
         head = self._head()

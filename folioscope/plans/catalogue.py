@@ -18,6 +18,7 @@ from ..index.schema import ENCODERS, FieldSpec, Schema
 from ..operators import vector_index
 from ..query import nodes as q
 from ..query.collection import Collection
+from ..query.fields import Fields
 from ..query.parser import Parser, QueryError
 from ..results import collect, highlight, suggest
 from ..results.cache import QueryCache
@@ -586,6 +587,48 @@ def streamed_twice(spark: SparkSession, sf: str) -> DataFrame:
     return index.term_stats.where("term in ('river', 'again', 'the', 'water')").crossJoin(index.corpus_stats.select("n_docs", "sum_dl")).select("term", "df", "cf", "n_docs", "sum_dl")
 
 
+@query
+def merged_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of a stream merged into one, with a document that came twice."""
+    from ..index.segments import everything
+    from ..streaming import nrt
+
+    own = table(spark, sf, "book_paragraph").where("body is not null").select("doc_id", "body")
+    root = _folder(spark, "stream")
+    fields = [FieldSpec("body")]
+    nrt.append_batch(own.where("doc_id % 2 = 0"), 0, root, fields)
+    nrt.append_batch(own.where("doc_id % 2 = 1"), 1, root, fields)
+    nrt.append_batch(own.where("doc_id % 3 = 0").withColumn("body", F.lit("river again")), 2, root, fields)
+    nrt.merge_batches(spark, root, everything)
+    return _rounded(Searcher(nrt.refresh(spark, root, fields)).hits(q.TermQ("body", "river")))
+
+
+@query
+def migrated_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of an older format, without offsets, written anew."""
+    store = maintain.Store(spark, _folder(spark, "store"), [TEXT])
+    name = store.commit(_small(spark, sf, "doc_id <= 300"))
+    old = f"{store.path}/{name}/postings"
+    spark.read.parquet(old).drop("starts", "ends").write.partitionBy("field").parquet(f"{store.path}/v0/postings")
+    for part in ("docs", "term_stats", "corpus_stats"):
+        spark.read.parquet(f"{store.path}/{name}/{part}").write.parquet(f"{store.path}/v0/{part}")
+    store.publish("v0")
+    states = sorted(store.formats().values())
+    store.migrate()
+    now = sorted(store.formats().values())
+    hits = Searcher(store.open()).hits(T("weeks")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(",".join(states), ",".join(now))], "before string, after string").crossJoin(hits)
+
+
+@query
+def collection_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicates on fields as index queries."""
+    own = Collection(_search(spark, sf))
+    f = Fields(own.searcher.index.fields)
+    asked = (f.text.has("weeks") | f.text.startswith("harb")) & (f.n_chars > 300) & (f.source != "ferry_wire") & f.title.exists()
+    return own.where(asked).select("doc_id").frame()
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     import uuid
 
@@ -684,6 +727,14 @@ def search_text(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_search(spark, sf).search_text("+weeks kettle", "text", 10))
 
 
+@query
+def search_in_time(spark: SparkSession, sf: str) -> DataFrame:
+    """A search with all the time it needs is whole; one without any is a part."""
+    s = _search(spark, sf)
+    rows, part = s.search_within(T("river") | T("weeks"), 10, 600.0, 2)
+    return _rounded(rows).withColumns({"part": F.lit(part), "none_left": F.lit(s.search_within(T("river"), 10, 0.0)[1])})
+
+
 @query
 def similarity_own_model(spark: SparkSession, sf: str) -> DataFrame:
     """A model made by the user: twice the frequency over the root of the length."""

@@ -350,6 +350,8 @@ SQL["terms_of_query"] = "select * from (values ('text', 'weeks'), ('text', 'rive
 SQL["parse_errors"] = "select query, cast(place as int) as place from (values ('(river', 6), ('a \"open', 2), ('river^', 6), ('a )', 2)) as v(query, place)"
 SQL["search_text"] = _with("""select doc_id, round(sum(s), 6) as score from tx where term in ('weeks', 'kettle') group by doc_id
   having bool_or(term = 'weeks') order by sum(s) desc, doc_id limit 10""")
+SQL["search_in_time"] = _with("""select doc_id, round(sum(s), 6) as score, false as part, true as none_left from tx where term in ('river', 'weeks') group by doc_id
+  order by sum(s) desc, doc_id limit 10""")
 SQL["similarity_own_model"] = _sum("term = 'river'", "1.0").replace(_BM25 + " as s", "2 * tf / sqrt(dl) as s")
 SQL["explanation_vector"] = f"""select vec_id as doc_id, round(list_dot_product(cast(embedding as double[]), {_TARGET}), 6) as dot,
   round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 6) as norm, round(sqrt(list_dot_product({_TARGET}, {_TARGET})), 6) as query_norm,
@@ -403,6 +405,13 @@ SQL["streamed_twice"] = f"""
   st as (select term, count(distinct doc_id) as df, count(*) as cf from toks group by term)
   select term, cast(df as bigint) as df, cast(cf as bigint) as cf, (select count(*) from b) as n_docs, (select cast(sum(cf) as bigint) from st) as sum_dl
   from st where term in ('river', 'again', 'the', 'water')"""
+SQL["merged_stream"] = _with("select doc_id, round(s, 6) as score from tx where term = 'river'").replace(
+    "from documents", "from (select doc_id, case when doc_id % 3 = 0 then 'river again' else any_value(body) end as text, null as title from book_paragraph where doc_id is not null and body is not null group by doc_id)"
+)
+SQL["migrated_index"] = _first(300, "select 'current,old' as before, 'current,current,old' as after, count(*) as n from tx where term = 'weeks'")
+SQL["collection_predicates"] = _with("""select distinct doc_id from tx join documents using (doc_id)
+  where (term = 'weeks' or starts_with(term, 'harb')) and n_chars > 300 and coalesce(source, '') <> 'ferry_wire'
+    and doc_id in (select doc_id from post where field = 'title')""")
 SQL["filter_synonyms"] = r"""
   with w as (select doc_id, regexp_extract_all(lower(title), '\S+') as w from documents where title is not null),
   p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
+import threading
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +21,15 @@ from ..query.rewrite import rewrite
 from ..runtime import stage
 
 
+def _ranks(query: q.Query) -> bool:
+    """Whether a query needs all documents to rank some of them."""
+    if isinstance(query, q.RrfQ | q.VectorQ | q.LikeQ | q.CombinedQ | q.ParentQ):
+        return True
+    inner = [getattr(query, n, ()) for n in ("must", "should", "must_not", "parts", "clauses")]
+    single = [getattr(query, n) for n in ("inner", "include", "exclude") if hasattr(query, n)]
+    return any(_ranks(x) for x in [*[y for part in inner for y in part], *single])
+
+
 class Searcher:
     """Runs queries against an index.
 
@@ -47,6 +60,43 @@ class Searcher:
             return own.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
         return self.hits(query).count()
 
+    def search_within(self, query: q.Query, n: int, seconds: float, slices: int = 8) -> tuple[DataFrame, bool]:
+        """The n best matches found in so many seconds, and whether they are of a part of the documents only.
+
+        The documents are searched in slices by the hash of their ids, with the
+        statistics of all, so what is found has its true score.  A slice that is
+        under way when the time ends is cancelled and counts for nothing.
+        Queries that rank inside (fusion, nearest vectors) take one slice.
+        """
+        slices = 1 if _ranks(query) else slices
+        spark, ends = self.index.spark, time.monotonic() + seconds
+        found: list = []
+        done = 0
+        for i in range(slices):
+            left = ends - time.monotonic()
+            if left <= 0:
+                break
+            mine = F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i
+            part = dataclasses.replace(self.index, docs=self.index.docs.where(mine), postings=self.index.postings.where(mine))
+            part.corpus = self.index.corpus
+            group = f"search-{uuid.uuid4().hex}"
+            spark.sparkContext.setJobGroup(group, "search", interruptOnCancel=True)
+            timer = threading.Timer(left, spark.sparkContext.cancelJobGroup, [group])
+            timer.start()
+            try:
+                # n rows at most
+                found += [(r["doc_id"], float(r["score"])) for r in Searcher(part, self.model, self.vectors).search(query, n).collect()]
+                done += 1
+            except Exception:
+                if timer.is_alive():
+                    raise
+                break
+            finally:
+                timer.cancel()
+                spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = spark.createDataFrame(found, "doc_id long, score double").orderBy(F.col("score").desc(), "doc_id").limit(n)
+        return rows, done < slices
+
     def search_text(self, text: str, field: str, n: int = 10) -> DataFrame:
         """The n best matches of a query in the query language; terms without a field are of ``field``."""
         from ..query.parser import Parser

@@ -47,6 +47,13 @@ class Monitor:
             if event.seconds > self.slow:
                 self.slowest.append(event)
 
+    def log(self, spark: SparkSession, path: str) -> None:
+        """Add the slow searches to a table, and forget them."""
+        rows = [(e.name, e.seconds, e.rows) for e in self.slowest]
+        if rows:
+            spark.createDataFrame(rows, "name string, seconds double, rows long").coalesce(1).write.mode("append").json(path)
+        self.slowest.clear()
+
     def summary(self) -> dict[str, float]:
         times = sorted(e.seconds for e in self.recent)
         if not times:

@@ -10,21 +10,28 @@ from the partial ones.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..index.build import _POSTINGS, ORDER, Index, indexed, postings_of, term_stats_of
 from ..index.schema import FieldSpec
+from ..index.segments import Policy, tiered
 from ..runtime import Files, one_row_per_id
 
 _GONE = "doc_id bigint, of bigint"
 
 
 def _batches(spark: SparkSession, path: str) -> set[int]:
-    """Batches that are complete: the count of documents is written last."""
+    """Batches that are complete (the count of documents is written last) and not merged into others."""
     files = Files(spark)
-    return {int(n.partition("=")[2]) for n in files.names(f"{path}/doc_partial") if n.startswith("batch=") and files.exists(f"{path}/doc_partial/{n}/_SUCCESS")}
+    done = {int(n.partition("=")[2]) for n in files.names(f"{path}/doc_partial") if n.startswith("batch=") and files.exists(f"{path}/doc_partial/{n}/_SUCCESS")}
+    merged = [json.loads(files.read(f"{path}/merges/{n}")) for n in files.names(f"{path}/merges") if n.endswith(".json")]
+    # a batch that merging made has a number below 0, and counts once its merge is on record
+    made, gone = {m["into"] for m in merged}, {b for m in merged for b in m["of"]}
+    return {b for b in done if (b >= 0 or b in made) and b not in gone}
 
 
 def _read(spark: SparkSession, path: str, name: str, batches: set[int], schema: str | None = None) -> DataFrame:
@@ -92,6 +99,35 @@ def refresh(spark: SparkSession, path: str, fields: list[FieldSpec]) -> Index:
     return Index(docs, postings, stats, corpus, names)
 
 
+def merge_batches(spark: SparkSession, path: str, policy: Policy = tiered()) -> list[list[int]]:
+    """Merge the batches that a policy chooses; what was merged.
+
+    A merged batch holds the live documents of its parts.  Readers see it when
+    the record of the merge is there, which is one small file.  Run it between
+    micro-batches: one that is under way must not lose what it replaces.
+    """
+    files = Files(spark)
+    batches = _batches(spark, path)
+    groups = policy({b: files.size(f"{path}/postings/batch={b}") for b in batches})
+    for of in groups:
+        into = min([0, *_batches(spark, path), *[int(n.partition("=")[2]) for n in files.names(f"{path}/docs")]]) - 1
+        now = _batches(spark, path)
+        for name, schema in (("docs", None), ("postings", _POSTINGS)):
+            rows = _live(spark, path, now, _read(spark, path, name, set(of), schema)).drop("batch")
+            if name == "postings":
+                rows = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={into}")
+        # what the parts replaced outside themselves stays replaced
+        gone = _read(spark, path, "replaced", set(of), _GONE).where(~F.col("of").isin(of)).select("doc_id", "of")
+        gone.write.mode("overwrite").parquet(f"{path}/replaced/batch={into}")
+        sums = _read(spark, path, "term_partial", set(of)).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        sums.write.mode("overwrite").parquet(f"{path}/term_partial/batch={into}")
+        n = _read(spark, path, "doc_partial", set(of)).agg(F.sum("n_docs").alias("n_docs"))
+        n.write.mode("overwrite").parquet(f"{path}/doc_partial/batch={into}")
+        files.create(f"{path}/merges/{-into:012d}.json", json.dumps({"into": into, "of": sorted(of)}))
+    return groups
+
+
 def changed(spark: SparkSession, path: str, seen: set[int]) -> bool:
     """Whether batches beyond ``seen`` are there (then refresh)."""
     return _batches(spark, path) != seen
