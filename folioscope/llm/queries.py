@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import stage, table
+from ..runtime import one_row_per_id, stage, table
 from . import distinctive, mixing, near_duplicates, new_text, packing, pii, term_counts, truncation
 
 BODIES = ("newsgroup_message", "book_paragraph")
@@ -74,6 +75,37 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(table(spark, sf, "newsgroup_message"), table(spark, sf, "name_lexicon"), PII_FIELDS)
 
 
+def p3_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """For each field, whether all texts come back when what was found is put into the placeholders again."""
+    messages, names = table(spark, sf, "newsgroup_message"), table(spark, sf, "name_lexicon")
+    spans = stage(pii.find(messages, names, PII_FIELDS), "pii-spans")
+    out = pii.redact(messages, names, PII_FIELDS)
+    own = one_row_per_id(messages.select("doc_id", *PII_FIELDS), "doc_id")
+    parts = None
+    for field in PII_FIELDS:
+        found = spans.where(F.col("field") == field).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "surface"))).alias("spans"))
+        met = own.select("doc_id", F.col(field).alias("text")).join(out.select("doc_id", F.col(field).alias("redacted")), "doc_id").join(found, "doc_id", "left")
+        same = met.select(F.pandas_udf(_restored, "boolean")("text", "redacted", "spans").alias("ok"))
+        part = same.agg(F.min("ok").alias("holds")).select(F.lit(field).alias("field"), "holds")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def _restored(text, redacted, spans):
+    def one(t, r, found):
+        if t is None or r is None:
+            return t is None and r is None
+        for s in sorted([] if found is None else found, key=lambda x: -x["start"]):
+            at = s["start"] + sum(len(pii.PLACEHOLDERS[o["kind"]]) - (o["stop"] - o["start"]) for o in found if o["stop"] <= s["start"])
+            mark = pii.PLACEHOLDERS[s["kind"]]
+            if r[at : at + len(mark)] != mark or t[s["start"] : s["stop"]] != s["surface"]:
+                return False
+            r = r[:at] + s["surface"] + r[at + len(mark) :]
+        return r == t
+
+    return pd.Series([one(*x) for x in zip(text, redacted, spans)])
+
+
 def _similar(spark: SparkSession, sf: str, tab: str):
     return near_duplicates.similar_records(table(spark, sf, tab).select("doc_id", F.col("body").alias("text")))
 
@@ -133,6 +165,27 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p6_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """For each specification, whether its containers keep the rules of packing."""
+    sized = packing.sized_documents(table(spark, sf, "documents"))
+    out = None
+    for spec in ("pack_2k", "pack_8k"):
+        capacity = _capacity(spark, sf, spec)
+        packed = stage(packing.pack(sized, capacity), "packed")
+        whole = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+        kept = sized.where("tokens > 0").join(whole, "doc_id", "full").agg(
+            F.coalesce(F.min(F.col("tokens").eqNullSafe(F.col("size"))), F.lit(True)).alias("all_placed"),
+            F.coalesce(F.min((F.col("tokens") > capacity) | (F.col("parts") == 1)), F.lit(True)).alias("none_split"),
+        )
+        used = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(
+            F.coalesce(F.max("used") <= capacity, F.lit(True)).alias("within_capacity"),
+            F.coalesce(F.count(F.lit(1)) <= F.ceil(F.sum("used") / capacity) * 1.01 + 1, F.lit(True)).alias("nearly_full"),
+        )
+        own = kept.crossJoin(used).select(F.lit(spec).alias("spec_id"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(mixing.pool(table(spark, sf, "documents")), table(spark, sf, "mix_target"))
 
@@ -150,6 +203,15 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf))
 
 
+def p7_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """For each target, whether its tokens are met to one in a hundred or to one document, and no document is used too often."""
+    docs = mixing.pool(table(spark, sf, "documents"))
+    told = mixing.shares(*mixing.mix(docs, table(spark, sf, "mix_target")))
+    largest = docs.groupBy("source").agg(F.max("tokens").alias("largest"))
+    near = F.abs(F.col("chosen_tokens") - F.col("goal_tokens")) <= F.greatest(0.01 * F.col("goal_tokens"), F.coalesce("largest", F.lit(0)))
+    return told.join(largest, "source", "left").select("mix_id", "source", near.alias("goal_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"), "settled")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.detect(table(spark, sf, "documents"))[0].where("cut").select("doc_id")
 

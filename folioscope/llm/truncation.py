@@ -353,6 +353,12 @@ class Evidence:
     rate: float
     settled: bool
 
+    def of(self, kind: str, marks: str, told: str, stated: str) -> float:
+        """What an ending and a stated length say together; ends that were not counted have the odds of the start."""
+        form = self.forms.get((kind, marks))
+        form = _start_odds(kind, marks, "none") if form is None else form
+        return form + self.words.get((kind, told), 0.0) + self.stated.get(stated, 0.0)
+
 
 def learn(rows: list, rounds: int = ROUNDS) -> Evidence:
     """Fit the two classes to counts of endings.
@@ -477,18 +483,15 @@ def detect(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not learnt.settled:
         raise RuntimeError("the evidence of endings has not settled")
 
-    def judge(odds, how, s):
-        out = []
-        for o, st, k, m, t in zip(odds, how, s["kind"], s["marks"], s["told"]):
-            base = learnt.rate if o is None or o != o else o
-            # a copy may end in a way that the one text counted for all does not
-            form = learnt.forms.get((k, m))
-            form = _start_odds(k, m, "none") if form is None else form
-            out.append(base + form + learnt.words.get((k, t), 0.0) + learnt.stated.get(st, 0.0))
-        return pd.Series(out, dtype=float)
-
-    judge.__annotations__ = {}
-    judged = marked.withColumn("log_odds", F.pandas_udf(judge, "double")("odds", "stated", "s"))
+    # what an ending says is looked up: there are as many rows as ways to end
+    told = [
+        (s["kind"], s["marks"], s["told"], how, learnt.of(s["kind"], s["marks"], s["told"], how))
+        for s, how in marked.select("s", "stated").distinct().collect()
+    ]
+    says = spark.createDataFrame(told, "kind string, marks string, told string, stated string, says double").select(
+        F.struct("kind", "marks", "told").alias("s"), "stated", "says"
+    )
+    judged = marked.join(F.broadcast(says), ["s", "stated"]).withColumn("log_odds", F.coalesce("odds", F.lit(learnt.rate)) + F.col("says"))
     return (
         judged.select("doc_id", "source", F.col("s.kind").alias("kind"), "measure", "limit", "log_odds", (F.col("log_odds") > 0).alias("cut")),
         limits,
