@@ -49,6 +49,17 @@ class Analyser:
         spark = SparkSession.getActiveSession()
         return list(spark.range(1).select(self.terms(F.lit(text)).alias("t")).first()["t"])
 
+    def places(self, text: str) -> list[list[str]]:
+        """The terms of a single text by position, those without any left out."""
+        if self.stream is None or self.char_filters:
+            return [[t] for t in self.of(text)]
+        out: dict[int, list[str]] = {}
+        tokens = self.stream(text)
+        for t, at in zip(tokens, streams.positions(tokens)):
+            if t[0] not in out.setdefault(at, []):
+                out[at].append(t[0])
+        return [out[at] for at in sorted(out)]
+
     def budget(self, most: int, reject: bool = False) -> Analyser:
         """At most ``most`` terms of a text: the rest is cut off, or raises an error."""
         if reject:

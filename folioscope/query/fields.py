@@ -30,10 +30,8 @@ class Field:
             return ~self.exists()
         if not self._posted:
             return q.PointsQ(self.name, (value,))
-        terms = self._terms(value)
-        if not terms:
-            return q.NoneQ("no term")
-        return q.TermQ(self.name, terms[0]) if len(terms) == 1 else q.PhraseQ(self.name, tuple(terms))
+        places = self.spec.analyser.places(value) if self.spec.kind == "text" else [[value]]
+        return q.phrase_of(self.name, places) or q.NoneQ("no term")
 
     def __ne__(self, value: Any) -> q.Query:  # type: ignore[override]
         return ~(self == value)

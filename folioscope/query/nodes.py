@@ -315,6 +315,17 @@ class VectorQ(Query):
     probes: int = 0
 
 
+def phrase_of(field: str, places: list[list[str]], slop: int = 0) -> Query | None:
+    """Terms by position as a term, alternatives, or a phrase; None where there are none."""
+    if not places:
+        return None
+    if len(places) == 1:
+        return TermQ(field, places[0][0]) if len(places[0]) == 1 else Bool(should=tuple(TermQ(field, t) for t in places[0]))
+    if all(len(p) == 1 for p in places):
+        return PhraseQ(field, tuple(p[0] for p in places), slop)
+    return MultiPhraseQ(field, tuple(tuple(p) for p in places), slop=slop)
+
+
 def and_(*queries: Query) -> Query:
     return Bool(must=queries)
 
