@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +34,7 @@ _POSTINGS = (
     "field string, term string, doc_id bigint, tf int, dl int, boost double, positions array<int>, starts array<int>, ends array<int>"
 )
 _KINDS = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.int32())] * 3]
+_COUNTS = "field string, term string, doc_id bigint, tf int, dl int, boost double"
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,42 @@ def _invert(columns: list[_Column]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _count(columns: list[_Column]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``_invert``, without positions; each document has a row without a term as well, its length as ``tf``."""
+
+    def field(c: _Column, docs: list, boosts: list, values: list) -> list[pa.Array]:
+        terms: list[str | None] = []
+        counts: list[int] = []
+        owner, each, sizes, weights = [], [], [], []
+        for doc, boost, value in zip(docs, boosts, values):
+            own = c.tokens(value)[0] if value is not None else []
+            if not own:
+                continue
+            held = Counter(own)
+            terms.append(None)
+            terms.extend(held)
+            counts.append(len(own))
+            counts.extend(held.values())
+            owner.append(doc)
+            each.append(len(held) + 1)
+            sizes.append(len(own))
+            weights.append(boost * c.boost)
+        spread_ = lambda x, kind: pa.array(np.repeat(np.array(x, kind), each))
+        return [
+            pa.array([c.name] * len(terms), pa.string()), pa.array(terms, pa.string()), spread_(owner, np.int64),
+            pa.array(counts, pa.int32()), spread_(sizes, np.int32), spread_(weights, np.float64),
+        ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _COUNTS.split(", ")]
+        for batch in batches:
+            docs, boosts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, c in enumerate(columns):
+                yield pa.RecordBatch.from_arrays(field(c, docs, boosts, batch.column(i + 2).to_pylist()), names)
+
+    return run
+
+
 @dataclass
 class Index:
     """The tables of an index, and how its text fields are analysed."""
@@ -185,11 +222,12 @@ def corpus_stats_of(docs: DataFrame, stats: DataFrame, fields: list[str]) -> Dat
     )
 
 
-def postings_of(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id") -> DataFrame:
+def postings_of(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id", counts: bool = False) -> DataFrame:
     """Postings of the text and string fields of a collection.
 
     Texts are analysed by the analyser's stream or local form in the task that
-    reads them; an analyser that has neither is run by Spark first.
+    reads them; an analyser that has neither is run by Spark first.  With
+    ``counts`` they have no positions, and lengths as rows without a term.
     """
     ship_package(docs.sparkSession)
     plans, values = [], []
@@ -211,7 +249,7 @@ def postings_of(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id") -
         values.append(value.alias(f"_{len(values)}"))
     boost = F.coalesce(F.col("boost").cast("double"), F.lit(1.0)) if "boost" in docs.columns else F.lit(1.0)
     own = spread(docs).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), boost.alias("_boost"), *values)
-    return own.mapInArrow(_invert(plans), _POSTINGS)
+    return own.mapInArrow(_count(plans), _COUNTS) if counts else own.mapInArrow(_invert(plans), _POSTINGS)
 
 
 def build(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id") -> Index:
@@ -225,6 +263,24 @@ def build(docs: DataFrame, fields: list[FieldSpec], key: str = "doc_id") -> Inde
     return Index(own, postings, stats, corpus_stats_of(own, stats, indexed(named)), named)
 
 
+def narrowed(docs: DataFrame, spec: FieldSpec, terms: DataFrame) -> Index:
+    """An index of some terms of a field (``term``) alone, with the statistics of all documents.
+
+    For searches whose terms are known beforehand and that need no positions:
+    texts are analysed once, and only postings of these terms are written out.
+    """
+    listed = stage(terms.where("term is not null").select("term", F.lit(True).alias("_listed")).distinct(), "terms")
+    rows = postings_of(docs, [spec], counts=True).join(listed, "term", "left").where("term is null or _listed")
+    own = stage(rows.select(*[x.split()[0] for x in _COUNTS.split(", ")]), "counts")
+    postings, kept = own.where("term is not null"), docs.where("doc_id is not null")
+    stats = stage(term_stats_of(postings), "term-stats")
+    n, s = live(kept).count(), own.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("s")).first()["s"]
+    corpus = [(spec.name, n, s, s / n if s and n else 1.0)]
+    made = Index(kept, postings, stats, docs.sparkSession.createDataFrame(corpus, "field string, n_docs bigint, sum_dl bigint, avgdl double"), {spec.name: spec})
+    made.corpus = {f: (n, s, a) for f, n, s, a in corpus}
+    return made
+
+
 def write(index: Index, path: str, codec: str = "zstd") -> None:
     """Persist an index: postings by field, in ranges of term and document, sorted.
 

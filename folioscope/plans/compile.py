@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import geo, similarity, vectors
 from ..index.build import Index
 from ..operators import positional
+from ..operators.batch import best_of_parts
 from ..operators.vector_index import Clusters
 from ..query import nodes as q
 from ..query.rewrite import rewrite
-from ..runtime import stage
+from ..runtime import ship_package, stage
 
 
 def _ranks(query: q.Query) -> bool:
@@ -108,30 +109,26 @@ class Searcher:
         """``(query_id, doc_id, score)``: n best matches of many bags of terms at once.
 
         ``queries`` is ``(query_id, term)``.  Postings are restricted to the asked
-        terms before anything else; one pass over them serves all queries.  The
-        n-th best score of a term alone is one that the n-th best match of a
-        query reaches at least, so postings that cannot get there, even with the
-        best scores of the query's other terms, are left out before they meet
-        the others.  That holds where no score is negative; elsewhere all meet.
+        terms before anything else; one pass over them serves all queries, and
+        queries of the same terms are answered once.  Documents are searched in
+        parts, each of which gives its n best: what is shuffled is the asked
+        postings and the parts' best, never the pairs of queries and documents.
         """
+        ship_package(self.index.spark)
         asked = stage(queries.where("query_id is not null and term is not null").select("query_id", "term").distinct(), "asked-terms")
         own = self.index.term_stats.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
         # a table of known size: the planner sends it to the postings where it is small
-        stats = stage(own.select("field", "term", "df", "cf"), "asked-stats")
-        scored = self._scored_by(field, stats).select("term", "doc_id", "score")
-        first = Window.partitionBy("term").orderBy(F.col("score").desc(), "doc_id")
-        ends = scored.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).groupBy("term").agg(
-            F.max("score").alias("top"), F.when(F.count(F.lit(1)) == n, F.min("score")).alias("nth")
-        )
-        bounds = stage(ends.join(scored.groupBy("term").agg(F.min("score").alias("least")), "term"), "term-bounds")
-        known = asked.join(bounds, "term")
-        whole = known.groupBy("query_id").agg(F.sum("top").alias("most"), F.when(F.min("least") >= 0, F.max("nth")).alias("floor"))
-        slack = F.col("floor") - (F.col("most") - F.col("top")) - 1e-9
-        wanted = stage(known.join(whole, "query_id").select("query_id", "term", "floor", slack.alias("slack")), "asked-bounds")
-        met = scored.join(wanted, "term").where("slack is null or score >= slack")
-        summed = met.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.max("floor").alias("_f")).where("_f is null or score >= _f - 1e-9")
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-        return summed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).select("query_id", "doc_id", "score")
+        stats = stage(own.select("field", "term", "df", "cf", F.monotonically_increasing_id().alias("term_id")), "asked-stats")
+        scored = self._scored_by(field, stats).select("term_id", "doc_id", F.col("score").cast("double").alias("score"))
+        # by term, so that a bag's scores are added up in one order wherever it is asked
+        known = asked.join(stats.select("term", "term_id"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "term_id"))).alias("_t"))
+        members = stage(known.select("query_id", F.col("_t.term_id").alias("bag")), "asked-bags")
+        bags = stage(members.select("bag").distinct().select(F.monotonically_increasing_id().alias("bag_id"), "bag"), "bags")
+        n_postings = stats.agg(F.sum("df").alias("n")).first()["n"] or 0
+        found = best_of_parts(scored, bags, n, n_postings, bags.count())
+        best = Window.partitionBy("bag_id").orderBy(F.col("score").desc(), "doc_id")
+        hits = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).select("bag_id", "doc_id", "score")
+        return members.join(bags, "bag").select("query_id", "bag_id").join(hits, "bag_id").select("query_id", "doc_id", "score")
 
     # -- scoring
 

@@ -93,6 +93,73 @@ def test_many_queries_equal_single_ones(index, spark, model):
         assert got == pytest.approx(want)
 
 
+def _shuffled(spark, run):
+    """Rows that are shuffled while ``run`` runs."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    rows = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = rows()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, rows() - before
+
+
+def test_many_queries_shuffle_no_pairs(spark):
+    """300 queries of two terms that 400 documents have: 120,000 pairs."""
+    docs = spark.createDataFrame([(i, "fox " * (1 + i % 7) + "dog " * (1 + i % 5) + "x " * (i % 11)) for i in range(400)], "doc_id long, body string")
+    asked = spark.range(300).selectExpr("id as query_id", "explode(array('fox', 'dog')) as term")
+    s = Searcher(ix.build(docs, [FieldSpec("body")]).staged())
+    got, moved = _shuffled(spark, lambda: s.search_many(asked, "body", 2).collect())
+    best = scores(s.search(T("fox") | T("dog"), 2))
+    assert len(got) == 600 and moved < 20_000
+    assert all(best[r["doc_id"]] == pytest.approx(r["score"]) for r in got)
+
+
+def test_many_queries_where_ids_come_again(spark):
+    """Two rows of one id are one document, so they don't push others out."""
+    docs = spark.createDataFrame([(1, "fox fox"), (1, "fox fox"), (2, "fox and much else that is long")], "doc_id long, body string")
+    s = Searcher(ix.build(docs, [FieldSpec("body")]).staged())
+    asked = spark.createDataFrame([(7, "fox")], "query_id long, term string")
+    assert [r["doc_id"] for r in s.search_many(asked, "body", 2).orderBy("doc_id").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_bags_of_many_terms_in_parts(spark, monkeypatch, parts):
+    """Bags of one to seven terms, common and rare, against all sums, in one cell and in many."""
+    import random
+
+    from folioscope.operators import batch
+
+    monkeypatch.setattr(batch, "CELL_BAGS", 40 if parts > 1 else 10**6)
+    monkeypatch.setattr(batch, "CELL_POSTINGS", 500 if parts > 1 else 10**6)
+    rnd = random.Random(3)
+    rows = [(t, d, round(rnd.expovariate(1.0) * (1 + t % 5) ** 2, 1)) for t in range(20) for d in range(250) if rnd.random() < (0.6, 0.3, 0.1, 0.02)[t % 4]]
+    bags = [(b, sorted(rnd.sample(range(22), rnd.randint(1, 7)))) for b in range(100)]
+    found = batch.best_of_parts(spark.createDataFrame(rows, "term_id long, doc_id long, score double"), spark.createDataFrame(bags, "bag_id long, bag array<long>"), 3, len(rows), len(bags))
+    got: dict[int, list] = {}
+    for r in found.collect():
+        got.setdefault(r["bag_id"], []).append((-r["score"], r["doc_id"]))
+    for b, terms in bags:
+        sums: dict[int, float] = {}
+        for t in terms:
+            for t2, d, x in rows:
+                if t2 == t:
+                    sums[d] = sums.get(d, 0.0) + x
+        want = sorted((-x, d) for d, x in sums.items())[:3]
+        assert sorted(got.get(b, []))[:3] == want
+
+
+def test_narrowed_index_scores_as_the_whole(index, spark):
+    docs = spark.createDataFrame(DOCS + [(None, "fox", "red", 1.0, None)], "doc_id long, body string, colour string, price double, emb array<double>")
+    own = ix.narrowed(docs, FieldSpec("body"), spark.createDataFrame([("fox",), ("dog",), (None,), ("zebra",)], "term string"))
+    asked = spark.createDataFrame([(1, "fox"), (2, "fox"), (2, "dog"), (3, "zebra")], "query_id long, term string")
+    rows = lambda i: sorted(map(tuple, Searcher(i).search_many(asked, "body", 2).collect()))
+    assert rows(own) == rows(index) and len(rows(own)) == 4
+    assert own.corpus["body"] == index.corpus["body"] and {r["term"] for r in own.postings.collect()} == {"fox", "dog"}
+    none = ix.narrowed(docs.where("false"), FieldSpec("body"), docs.select(docs.body.alias("term")))
+    assert Searcher(none).search_many(asked, "body", 2).count() == 0
+
+
 def test_dis_max_and_fusion(index):
     s = Searcher(index)
     a, b = scores(s.hits(T("fox"))), scores(s.hits(T("brown")))
